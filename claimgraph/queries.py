@@ -1,0 +1,9 @@
+"""Queries of the core library."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
