@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, license_scan, mixing, near_dedup, secret_scan, sentencepieces, toxicity
+from . import fertility, fingerprint, kneser_ney, license_scan, mixing, near_dedup, preferences, secret_scan, sentencepieces, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,13 +39,25 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("entropy", F.round("entropy", 9))
 
 
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preferences.format_preferences(preferences.mismatched_replies(table(spark, sf_dir, "conversations")))
+
+
+def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.fertility(table(spark, sf_dir, "documents"))
+
+
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.fingerprints(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.withColumn("sketch", F.array_join(F.transform("sketch", lambda x: x.cast("string")), ","))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_license_scan, op2_sentencepieces, op3_toxicity, op4_near_dedup, op5_mixing, op6_secret_scan, op10_fingerprints)
+    every = (op1_license_scan, op2_sentencepieces, op3_toxicity, op4_near_dedup, op5_mixing, op6_secret_scan, op7_preferences, op8_fertility, op9_kneser_ney, op10_fingerprints)
     return {f.__name__: f for f in every}
 
 
@@ -53,5 +65,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_scan.license_sql(),
         "op6_secret_scan": secret_scan.secret_sql(),
+        "op7_preferences": preferences.preference_sql(),
         "op10_fingerprints": fingerprint.fingerprint_sql(),
     }
