@@ -10,12 +10,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_map, cut, process_cache, spans, starts_of
-from .sentencepieces import SEGMENT, Numbers
+from .runtime import Numbers, arrow_map, cut, process_cache, spans, starts_of
+from .sentencepieces import SEGMENT
 
 #: A measure is out of its band if it is more than REACH quartile distances, plus SLACK over the root of the number of
 #: tokens, from the language's median.
-REACH, SLACK = 8.0, 2.0
+REACH, SLACK = 4.0, 2.0
 #: name of a measure, and the sides on which it rejects: characters per token both, share of fallback too high,
 #: evenness of tokens (entropy over the most that so many tokens can have) too low.
 MEASURES = (("chars_per_token", True, True), ("fallback", False, True), ("evenness", True, False))

@@ -21,10 +21,10 @@ from .runtime import arrow_map, cut, drop_cut, spans, starts_of
 ORDER = 5
 BITS = 12
 START = 1
-#: A text is rejected if its mean surprise (nats a symbol) exceeds, in its language, the upper quantile by more than
-#: REACH times the distance of the quantiles, plus SLACK over the root of its length.
-QUANTILES = (0.5, 0.9)
-REACH, SLACK = 3.0, 6.0
+#: A text is rejected if its mean surprise (nats a symbol) exceeds, in its language, the median by more than
+#: REACH times its distance from the lower quantile, plus SLACK over the root of its length.
+QUANTILES = (0.1, 0.5)
+REACH, SLACK = 10.0, 6.0
 #: Above this number of distinct n-grams, texts are sent to shards of the model instead of the model to the texts.
 BROADCAST_GRAMS = 4_000_000
 BROADCAST_ROWS = 2_000_000

@@ -76,6 +76,14 @@ class Filling(dict):
             self.clear()
 
 
+class Numbers(dict):
+    """Numbers keys in the order of their first use."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 def process_filling(name: str, make: Callable) -> Filling:
     held = process_cache("fillings")
     if name not in held:

@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_map, lists, spans, starts_of
+from .runtime import Numbers, arrow_map, lists, spans, starts_of
 
 SEED = 17
+#: Characters whose lattices are in memory at once.
+LATTICE_CHARS = 1_500_000
 ALPHA = 1.0
 #: No piece reaches over these cuts: a space only starts a piece, and no piece has a line feed.
 SEGMENT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
@@ -168,14 +170,6 @@ def sample(lat: Lattice, which: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarr
     return out, count
 
 
-class Numbers(dict):
-    """Numbers keys in the order of their first use."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 def encode_texts(texts: list[str | None], keys: np.ndarray, v: Vocabulary, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts end to end, and the number of each; keys: one 64-bit number for each row."""
     index = Numbers()
@@ -234,7 +228,7 @@ def encode(docs: DataFrame, path: str | None = None, seed: int = SEED, alpha: fl
         texts = b.column(2).to_pylist()
         keys = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
         out = []
-        for lo, hi in spans(texts):
+        for lo, hi in spans(texts, LATTICE_CHARS):
             some = texts[lo:hi]
             ids, counts = encode_texts(some, keys[lo:hi], v, seed)
             at = starts_of(counts)

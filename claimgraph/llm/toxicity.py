@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import WORD, arrow_map, fresh, process_filling, spans, starts_of
+from .runtime import WORD, Numbers, arrow_map, fresh, process_filling, spans, starts_of
 
 #: The bound of the training sample: at most so many labelled documents with toxic = 1, and with toxic = 0.
-TRAIN_TOXIC, TRAIN_CLEAN = 1500, 3000
+TRAIN_TOXIC, TRAIN_CLEAN = 800, 1600
 THRESHOLD = 0.5
 PREFIXES = (3, 4, 5, 6, 7)
 #: A word or prefix marks toxic words if chance would put all its contexts into toxic documents this rarely ...
@@ -140,68 +141,82 @@ def char_spans(text: str, found: list[tuple[int, int, float]]) -> list[tuple[int
     return [(words[a][0], words[min(b, len(words) - 1)][1], p) for a, b, p in found if a < len(words)]
 
 
-def token_labels(texts: list[str], toxic: list[bool]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words by distant supervision: (distinct words, each position's word, lengths of chains, labels, toxic positions).
+@dataclass
+class Tokens:
+    """Words of training texts: distinct words, each position's word, chain lengths, whether a position's text is toxic."""
+
+    words: list[str]
+    ids: np.ndarray
+    lengths: np.ndarray
+    in_toxic: np.ndarray
+    names: list[str]  # of features
+    flat: np.ndarray  # features of all words, end to end
+    sizes: np.ndarray  # their number for each word
+
+
+def tokens_of(texts: list[str], toxic: list[bool]) -> Tokens:
+    index, ids, lengths, sides = Numbers(), [], [], []
+    for t, side in zip(texts, toxic):
+        words, n, _ = word_lines([t])
+        ids.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
+        lengths.append(n)
+        sides.append(np.full(len(words), side))
+    names, flat, sizes = Numbers(), array("i"), array("i")
+    for w in index:
+        own = features(w)
+        sizes.append(len(own))
+        flat.extend(names[x] for x in own)
+    none = [np.zeros(0, np.int32)]
+    return Tokens(list(index), np.concatenate(ids or none), np.concatenate(lengths or none), np.concatenate(sides or [np.zeros(0, bool)]), list(names), np.array(flat, np.int32), np.array(sizes, np.int32))
+
+
+def token_labels(t: Tokens) -> np.ndarray:
+    """Labels by distant supervision, one for each position.
 
     A whole word or a prefix marks toxic words if its distinct contexts (neighbours included, so copies of a text
     don't add up) lie in toxic documents too often for chance. Words so marked in toxic documents are labelled 1.
     """
-    flat, lengths, per_text = word_lines(texts)
-    index: dict[str, int] = {}
-    ids = np.fromiter((index.setdefault(w, len(index)) for w in flat), np.int64, len(flat))
-    words = list(index)
-    line_toxic = np.repeat(np.array(toxic, bool), per_text)
-    in_toxic = np.repeat(line_toxic, lengths)
-    if not len(ids):
-        return words, ids, lengths, np.zeros(0), in_toxic
-    before, after = np.roll(ids, 1), np.roll(ids, -1)
-    hits = []
-    for side in (True, False):
-        at = in_toxic == side
-        triples = np.unique(np.stack([ids[at], before[at], after[at]]), axis=1)
-        hits.append(np.bincount(triples[0], minlength=len(words)))
+    if not len(t.ids):
+        return np.zeros(0)
+    ids = t.ids.astype(np.int64)
+    context = (ids * 0x9E3779B1 + np.roll(ids, 1) * 0x85EBCA77 + np.roll(ids, -1) * 0xC2B2AE3D) & ((1 << 38) - 1)
+    key = context | (t.in_toxic.astype(np.int64) << 38)
+    _, first = np.unique(key, return_index=True)
+    hits = [np.bincount(ids[first][t.in_toxic[first] == side], minlength=len(t.words)) for side in (True, False)]
     share = hits[0].sum() / max(1, hits[0].sum() + hits[1].sum())
     least = math.log(1 / CHANCE) / math.log(1 / min(max(share, 1e-9), 0.999))
-    totals: dict[str, list[int]] = {}
-    for w, a, b in zip(words, hits[0].tolist(), hits[1].tolist()):
-        for x in features(w):
-            if x[0] != "$":
-                t = totals.setdefault(x, [0, 0])
-                t[0] += a
-                t[1] += b
-    marks = {x for x, (a, b) in totals.items() if a >= least and b <= CLEAN_SHARE * a}
-    marked = np.array([any(x in marks for x in features(w)) for w in words], bool)
-    return words, ids, lengths, (marked[ids] & in_toxic).astype(float), in_toxic
+    a, b = (np.bincount(t.flat, weights=np.repeat(h, t.sizes), minlength=len(t.names)) for h in hits)
+    ending = np.fromiter((x[0] == "$" for x in t.names), bool, len(t.names))
+    marks = (a >= least) & (b <= CLEAN_SHARE * a) & ~ending
+    marked = np.add.reduceat(marks[t.flat].astype(np.int64), starts_of(t.sizes)[:-1]) > 0
+    return (marked[t.ids] & t.in_toxic).astype(float)
 
 
 def train(texts: list[str], toxic: list[bool]) -> Crf:
     """Fit the field by gradient ascent on the conditional likelihood, all chains at once; the order of rows is no matter."""
     order = sorted(range(len(texts)), key=lambda i: (texts[i], toxic[i]))
-    words, ids, lengths, y, _ = token_labels([texts[i] for i in order], [toxic[i] for i in order])
+    t = tokens_of([texts[i] for i in order], [toxic[i] for i in order])
+    y = token_labels(t)
     if not y.any():
         return Crf()
-    names: dict[str, int] = {}
-    feats = [[names.setdefault(x, len(names)) for x in features(w)] for w in words]
-    sizes = np.array([len(x) for x in feats])
-    flat = np.fromiter((i for x in feats for i in x), np.int64, int(sizes.sum()))
-    at = starts_of(sizes)[:-1]
-    chains = Chains(lengths)
-    first = np.zeros(len(ids), bool)
-    first[starts_of(lengths)[:-1]] = True
+    at = starts_of(t.sizes)[:-1]
+    chains = Chains(t.lengths)
+    first = np.zeros(len(t.ids), bool)
+    first[starts_of(t.lengths)[:-1]] = True
     pair = np.flatnonzero(~first)
-    w, bias, steps = np.zeros(len(names)), math.log((y.sum() + 1) / (len(y) + 2)), np.array([0.0, 0.0, 0.0, bias_start(y)])
-    gw, gb, gs = np.full(len(names), 1e-8), 1e-8, np.full(4, 1e-8)
+    w, bias, steps = np.zeros(len(t.names)), math.log((y.sum() + 1) / (len(y) + 2)), np.zeros(4)
+    gw, gb, gs = np.full(len(t.names), 1e-8), 1e-8, np.full(4, 1e-8)
     seen = np.array([(y[pair] * (1 - y[pair - 1])).sum(), ((1 - y[pair]) * y[pair - 1]).sum(), (y[pair] * y[pair - 1]).sum(), y[first].sum()])
     for _ in range(ROUNDS):
-        r = np.exp(np.clip(bias + np.add.reduceat(w[flat], at), -CLIP, CLIP))[ids]
+        r = np.exp(np.clip(bias + np.add.reduceat(w[t.flat], at), -CLIP, CLIP))[t.ids]
         f, b = chains.odds(r, steps)
         p = f * b / (1 + f * b)
         a01, a10, a11 = np.exp(steps[:3])
         q, g = r[pair] * b[pair], f[pair - 1]
         z = 1 + a01 * q + g * a10 + g * a11 * q
         expected = np.array([(a01 * q / z).sum(), (g * a10 / z).sum(), (g * a11 * q / z).sum(), p[first].sum()])
-        by_word = np.bincount(ids, weights=y - p, minlength=len(words)) / len(y)
-        grad = np.bincount(flat, weights=np.repeat(by_word, sizes), minlength=len(names)) - SHRINK * w
+        by_word = np.bincount(t.ids, weights=y - p, minlength=len(t.words)) / len(y)
+        grad = np.bincount(t.flat, weights=np.repeat(by_word, t.sizes), minlength=len(t.names)) - SHRINK * w
         gw += grad**2
         w += RATE * grad / np.sqrt(gw)
         grad_b = by_word.sum()
@@ -210,13 +225,7 @@ def train(texts: list[str], toxic: list[bool]) -> Crf:
         grad_s = (seen - expected) / len(y)
         gs += grad_s**2
         steps = np.clip(steps + 0.5 * RATE * grad_s / np.sqrt(gs), -5, 5)
-    keep = np.flatnonzero(np.abs(w) > 0.05)
-    every = list(names)
-    return Crf({every[i]: float(w[i]) for i in keep}, float(bias), tuple(float(x) for x in steps))
-
-
-def bias_start(y: np.ndarray) -> float:
-    return 0.0
+    return Crf({t.names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 0.05)}, float(bias), tuple(float(x) for x in steps))
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, clean_rows: int = TRAIN_CLEAN) -> Crf:
