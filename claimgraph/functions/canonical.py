@@ -1,7 +1,7 @@
 """Canonical text of JSON records under a schema, as Spark expressions: equal records give equal text.
 
-Presence and type come from the VARIANT of the text, number and list text from a string map, which agrees with it on
-duplicate keys (the last counts) and keeps numbers as written. Floats in exponent form of extreme size are printed
+Presence and type come from the VARIANT of the text, number and list text from a string map, which keeps
+numbers as written; of duplicate keys the last counts. Floats in exponent form of extreme size are printed
 from a double and are out of contract, as are integers of 19 digits or more written with a fraction ".0".
 """
 
@@ -35,8 +35,11 @@ def quoted(c: Column) -> Column:
     return F.when(c.rlike("[\\x00-\\x1f]"), text).otherwise(F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
 
 
-def path(name: str) -> str:
-    return "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
+def member(v: Column, name: str) -> Column:
+    """A member of an object as VARIANT, NULL if it is absent. Paths have no escapes: odd names are looked up in a map."""
+    if set(name) & set("'\"?\\") or not name:
+        return F.element_at(F.try_variant_get(v, "$", "map<string,variant>"), name)
+    return F.variant_get(v, f"$['{name}']", "variant")
 
 
 def type_name(kind: Column, is_null: Column) -> Column:
@@ -74,6 +77,11 @@ def plain_number(text: Column) -> Column:
     return F.when(~text.contains("E"), text).when(digits.between(-5, 15), plain).otherwise(short)
 
 
+def parse(c: Column) -> tuple[Column, Column]:
+    """The record as VARIANT and as a map of texts."""
+    return F.try_parse_json(c), F.from_json(c, "map<string,string>")
+
+
 class Canon:
     """Expressions that canonicalise a JSON text column under a schema.
 
@@ -86,16 +94,16 @@ class Canon:
             raise ValueError("key_order is schema or lexicographic")
         self.schema, self.key_order, self.strict_lists = schema, key_order, strict_lists
 
-    def _build(self, c: Column, fields: list[Field]) -> Column:
-        v = F.try_parse_json(c)
+    def _build(self, c: Column, fields: list[Field], parsed: tuple[Column, Column] | None = None) -> Column:
+        v, texts = parsed or parse(c)
         root = F.schema_of_variant(v)
-        texts = F.from_json(c, "map<string,string>")
+        repeats = F.size(F.array_distinct(F.map_keys(texts))) < F.size(texts)
         parts: dict[str, Column] = {}
         errors: list[Column] = []
         for f in fields:
-            got = F.variant_get(v, path(f.name), "variant")
+            got = member(v, f.name)
             kind = F.schema_of_variant(got)
-            text = F.element_at(texts, f.name)
+            text = F.when(repeats, F.element_at(F.filter(F.map_entries(texts), lambda e: e["key"] == f.name), -1)["value"]).otherwise(F.element_at(texts, f.name))
             null = F.is_variant_null(got)
             ok = accepts(f.kind, kind, text)
             if self.strict_lists and f.kind.name == "list":
@@ -121,16 +129,19 @@ class Canon:
     def _list_text(self, got: Column, text: Column) -> Column:
         return text if self.key_order == "schema" else F.to_json(got)
 
-    def encode(self, c: Column) -> Column:
-        """struct(canonical, error): the record's canonical text, or why it has none; the first failing field counts."""
-        return self._build(c, list(self.schema.fields))
+    def encode(self, c: Column, parsed: tuple[Column, Column] | None = None) -> Column:
+        """struct(canonical, error): the record's canonical text, or why it has none; the first failing field counts.
+
+        parsed: columns that hold parse(c), where several expressions share them.
+        """
+        return self._build(c, list(self.schema.fields), parsed)
 
-    def identity_projection(self, c: Column) -> Column:
+    def identity_projection(self, c: Column, parsed: tuple[Column, Column] | None = None) -> Column:
         """The same over identity fields alone, all of them required; other fields aren't looked at."""
         own = [replace(f, required=True) for f in self.schema.identity_fields()]
         if not own:
             warnings.warn(f"schema {self.schema.name!r} has no identity field: every record projects to {{}}", stacklevel=2)
-        return self._build(c, own)
+        return self._build(c, own, parsed)
 
     @staticmethod
     def decode(c: Column) -> Column:
@@ -157,11 +168,15 @@ def encode_table(df: DataFrame, column: str, schema: Schema, **options) -> DataF
     """df with columns canonical, error, cid, identity and identity_hash for the JSON text in `column`."""
     prepare(df.sparkSession)
     canon = Canon(schema, **options)
-    rows = df.withColumns({"_c": canon.encode(F.col(column)), "_i": canon.identity_projection(F.col(column))})
+    v, texts, whole, own = (f"__canonical_{n}" for n in ("variant", "texts", "record", "identity"))
+    # Columns of their own, so that the optimiser parses each record once for both expressions.
+    rows = df.withColumns(dict(zip((v, texts), parse(F.col(column)))))
+    parsed = F.col(v), F.col(texts)
+    rows = rows.withColumns({whole: canon.encode(F.col(column), parsed), own: canon.identity_projection(F.col(column), parsed)})
     return rows.withColumns({
-        "canonical": F.col("_c.canonical"), "error": F.col("_c.error"), "cid": cid(F.col("_c.canonical")),
-        "identity": F.col("_i.canonical"), "identity_hash": cid(F.col("_i.canonical")),
-    }).drop("_c", "_i")
+        "canonical": F.col(f"{whole}.canonical"), "error": F.col(f"{whole}.error"), "cid": cid(F.col(f"{whole}.canonical")),
+        "identity": F.col(f"{own}.canonical"), "identity_hash": cid(F.col(f"{own}.canonical")),
+    }).drop(v, texts, whole, own)
 
 
 def encode_struct(schema: Schema, columns: dict[str, Column] | None = None) -> Column:

@@ -135,7 +135,7 @@ def convergent_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = closure.transitive_closure(src.nation_mappings(spark, sf_dir), "AFRICA", "ALGERIA", 4)
+    c = closure.transitive_closure(src.nation_mappings(spark, sf_dir), "AFRICA", "NATION_0", 4)
     steps = joined(F.transform("steps", lambda s: F.concat(s["schema"], F.lit("."), s["field"])), ">")
     return c.select("schema", "field", steps.alias("steps"), "hops", F.round("confidence", 9).alias("confidence"))
 
@@ -165,7 +165,7 @@ MAPPINGS = """m AS (SELECT row_number() OVER (ORDER BY p_type, p_brand, r_name,
     FROM (SELECT p_type, p_brand, r_name, n_name, l_returnflag, sum(l_linenumber)::BIGINT AS s FROM lineitem JOIN part ON l_partkey = p_partkey
       JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL))"""
 DOMAINS = "d AS (SELECT * FROM (VALUES " + ", ".join(f"({o}, '{n}', {v}, {ids})" for o, n, v, ids in src.DOMAINS) + ") AS t(ord, name, version, ids))"
-MEMBERS = f"{DOMAINS}, at AS (SELECT id AS schema_cid, arg_max(name, ord) AS domain FROM (SELECT ord, name, unnest(ids) AS id FROM d) GROUP BY id)"
+MEMBERS = f"{DOMAINS}, mem AS (SELECT id AS schema_cid, arg_max(name, ord) AS domain FROM (SELECT ord, name, unnest(ids) AS id FROM d) GROUP BY id)"
 
 
 def _fields(name: str) -> str:
@@ -186,7 +186,7 @@ CLOSURE = """WITH RECURSIVE n AS (SELECT n_nationkey AS i, r_name AS s, n_name A
     k AS (SELECT ss, sf, ts, tf, arg_min(c, ord) AS there, arg_min(c, ord) FILTER (WHERE dir <> 'forward') AS back FROM m GROUP BY ALL),
     e AS (SELECT ss AS s1, sf AS f1, ts AS s2, tf AS f2, there AS c, ss || chr(1) || sf || chr(1) || ts || chr(1) || tf || chr(1) || '0' AS key FROM k
       UNION ALL SELECT ts, tf, ss, sf, back, ss || chr(1) || sf || chr(1) || ts || chr(1) || tf || chr(1) || '1' FROM k WHERE back IS NOT NULL),
-    w AS (SELECT 'AFRICA' AS s, 'ALGERIA' AS f, ['AFRICA.ALGERIA'] AS path, 0 AS hops, 1.0::DOUBLE AS c, '' AS keys
+    w AS (SELECT 'AFRICA' AS s, 'NATION_0' AS f, ['AFRICA.NATION_0'] AS path, 0 AS hops, 1.0::DOUBLE AS c, '' AS keys
       UNION ALL SELECT e.s2, e.f2, list_append(w.path, e.s2 || '.' || e.f2), hops + 1, w.c * e.c, w.keys || chr(2) || e.key FROM w JOIN e ON e.s1 = w.s AND e.f1 = w.f
         WHERE hops < 4 AND NOT list_contains(w.path, e.s2 || '.' || e.f2)),
     b AS (SELECT s, f, arg_min({'p': path, 'h': hops, 'c': c}, hops || keys) AS x FROM w WHERE hops > 0 GROUP BY s, f)
@@ -214,10 +214,10 @@ def oracle_sql() -> dict[str, str]:
         "mapping_json": f"WITH {MAPPINGS} SELECT ord, {KEY}, confidence, agent, direction, true AS ok FROM m",
         "mapping_content_ids": f"""WITH {MAPPINGS}, x AS (SELECT '{{"source_schema":"' || source_schema || '","source_field":"' || source_field || '","target_schema":"' || target_schema || '","target_field":"' || target_field || '"}}' AS identity, confidence, agent, direction FROM m)
             SELECT identity, count(DISTINCT (confidence, agent, direction)) AS contents, min(sha256(identity)) AS identity_hash FROM x GROUP BY identity""",
-        "domain_membership": f"WITH {MEMBERS} SELECT schema_cid, domain FROM at",
+        "domain_membership": f"WITH {MEMBERS} SELECT schema_cid, domain FROM mem",
         "domain_sets": f"""WITH {DOMAINS} SELECT name, array_to_string(list_sort(list_distinct(list_append(ids, 'MEDIUM'))), ',') AS with_medium, list_contains(ids, 'MEDIUM') AS has_medium, len(ids)::INTEGER AS schema_count,
             '{{"name":"' || name || '","version":' || version || ',"schema_cids":["' || array_to_string(ids, '","') || '"]}}' AS canonical FROM d""",
-        "domain_bridges": f"WITH {MAPPINGS}, {MEMBERS} SELECT s.domain AS source_domain, t.domain AS target_domain, count(*) AS mapping_count, count(DISTINCT source_field) AS source_coverage, count(DISTINCT target_field) AS target_coverage, round(avg(confidence), 9) AS avg_confidence FROM m JOIN at s ON source_schema = s.schema_cid JOIN at t ON target_schema = t.schema_cid GROUP BY 1, 2",
+        "domain_bridges": f"WITH {MAPPINGS}, {MEMBERS} SELECT s.domain AS source_domain, t.domain AS target_domain, count(*) AS mapping_count, count(DISTINCT source_field) AS source_coverage, count(DISTINCT target_field) AS target_coverage, round(avg(confidence), 9) AS avg_confidence FROM m JOIN mem s ON source_schema = s.schema_cid JOIN mem t ON target_schema = t.schema_cid GROUP BY 1, 2",
         "disagreements": f"WITH {MAPPINGS}, {GROUPS} SELECT {KEY}, competing, agent_count FROM g WHERE agent_count >= 2 AND (spread > 0.1::DOUBLE OR directions > 1)",
         "convergent_mappings": f"WITH {MAPPINGS}, {GROUPS} SELECT best.ord AS ord, {KEY}, best.confidence AS confidence, best.agent AS agent, best.direction AS direction FROM g WHERE agent_count >= 2 AND spread <= 0.1::DOUBLE AND directions = 1",
         "transitive_closure": CLOSURE,
