@@ -135,10 +135,12 @@ def score_texts(texts: list[str | None], model: Crf, least: float = THRESHOLD) -
 
 def char_spans(text: str, found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     """Word spans as character offsets of the text as given."""
-    words = [m.span() for m in WORD.finditer(text)]
-    if len(words) != len(WORD.findall(text.lower())):  # lower case of a few letters is longer
-        words = [m.span() for m in WORD.finditer("".join(c if len(c.lower()) == 1 else "x" for c in text))]
-    return [(words[a][0], words[min(b, len(words) - 1)][1], p) for a, b, p in found if a < len(words)]
+    low = text.lower()
+    words = [m.span() for m in WORD.finditer(low)]
+    if len(low) != len(text):  # lower case of a few letters is longer
+        origin = [i for i, c in enumerate(text) for _ in c.lower()]
+        words = [(origin[s], origin[e - 1] + 1) for s, e in words]
+    return [(words[a][0], words[b][1], p) for a, b, p in found]
 
 
 @dataclass
