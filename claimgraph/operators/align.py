@@ -25,8 +25,9 @@ class AlignConfig:
 
 
 def fields_of(spark: SparkSession, schema: Schema) -> DataFrame:
+    """The fields of one schema, in one partition: the pairs of two schemas are then one task."""
     cid = schema.cid()
-    return spark.createDataFrame([(cid, i, f.name, f.kind.text(), f.required, f.identity) for i, f in enumerate(schema.fields)], FIELDS)
+    return spark.createDataFrame([(cid, i, f.name, f.kind.text(), f.required, f.identity) for i, f in enumerate(schema.fields)], FIELDS).coalesce(1)
 
 
 def name_similarity(a: Column, b: Column) -> Column:
