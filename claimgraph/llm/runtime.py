@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = re.compile(r"[^\W_]+")
 #: Characters that one vectorised step works on; bounds a worker's memory, never a text's length.
 STEP_CHARS = 3_000_000
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,8 +85,10 @@ class Numbers(dict):
 
 
 def process_filling(name: str, make: Callable) -> Filling:
+    """The worker's one dict of this kind: a new name takes the place of what another operator left behind."""
     held = process_cache("fillings")
     if name not in held:
+        held.clear()
         held[name] = Filling(make)
     held[name].trim()
     return held[name]
