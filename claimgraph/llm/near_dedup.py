@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import arrow_map, cut, drop_cut, fresh, lists, process_filling, spans, starts_of, word_lists
+from .runtime import arrow_map, cut, drop_cut, fresh, process_filling, spans, starts_of, word_lists
 
 THRESHOLD = 0.5
 SHINGLE = 3
@@ -91,7 +91,7 @@ def minhashes(grams: np.ndarray, counts: np.ndarray, t: int = POSITIONS) -> np.n
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, set_a, set_b, sketch): a 128-bit hash of the whole shingle set and its minwise values.
+    """(doc_id, set_a, set_b, sketch, short): a 128-bit hash of the whole shingle set, its minwise values, their low bytes.
 
     Rows without doc_id or without a word have no signature.
     """
@@ -108,11 +108,12 @@ def signatures(docs: DataFrame) -> DataFrame:
             high = np.array([k >> 64 for k in keys], np.uint64).view(np.int64)
             low = np.array([k & (2**64 - 1) for k in keys], np.uint64).view(np.int64)
             sketch = pa.array([r.tobytes() for r in mins.astype(">u4")], pa.binary())
-            out.append(pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).filter(pa.array(has)), pa.array(high), pa.array(low), sketch], ["doc_id", "set_a", "set_b", "sketch"]))
+            short = pa.array([r.tobytes() for r in mins.astype(np.uint8)], pa.binary())
+            out.append(pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).filter(pa.array(has)), pa.array(high), pa.array(low), sketch, short], ["doc_id", "set_a", "set_b", "sketch", "short"]))
         return out
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return arrow_map(rows, step, "doc_id long, set_a long, set_b long, sketch binary")
+    return arrow_map(rows, step, "doc_id long, set_a long, set_b long, sketch binary, short binary")
 
 
 def children(path, sketch) -> list:
@@ -155,110 +156,163 @@ def similar_in_node(s: np.ndarray, low: float, high: float) -> tuple[list, list]
     return sure, [(i, j) for i, j in doubt if part[i] != part[j]]
 
 
-def links_in_nodes(rows: DataFrame, low: float, high: float) -> DataFrame:
-    """(a, b, sure) with a < b from rows (path, doc_id, sketch), which must be clustered and sorted by path."""
+def nodes_in(batches, of):
+    """of(path, columns) for each run of equal paths in batches whose first column is the path, clustered and sorted."""
+    held: list[pa.RecordBatch] = []  # the node that the next batch may go on with
+
+    def done() -> list:
+        t = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        path = t.column(0).to_numpy()
+        sizes = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1, [len(path)]]))
+        return of(path, sizes, t)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        path = batch.column(0).to_numpy()
+        if held and path[0] == held[-1].column(0)[-1].as_py():
+            first = int(np.searchsorted(path, path[0], side="right"))
+            held.append(batch.slice(0, first))
+            if first == len(path):
+                continue
+            yield from done()
+            batch, path = batch.slice(first), path[first:]
+        elif held:
+            yield from done()
+        last = int(np.searchsorted(path, path[-1]))
+        if last:
+            held.append(batch.slice(0, last))
+            yield from done()
+        held.append(batch.slice(last))
+    if held:
+        yield from done()
+
+
+def estimates(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, POSITIONS)
 
-    def links(ids: np.ndarray, s: np.ndarray, sizes: np.ndarray) -> tuple[list, list, list]:
-        at = starts_of(sizes)
-        a, b, sure = [], [], []
+
+def compared_nodes(rows: DataFrame, low: float, high: float) -> DataFrame:
+    """(a, b, path) from rows (path, doc_id, short), which must be clustered and sorted by path.
+
+    A sure link has a < b and no path. A document with a doubtful pair in a node is a row (doc_id, null, path): pairs,
+    of which a node may have as many as the square of its documents, are never sent.
+    """
+
+    def of(path: np.ndarray, sizes: np.ndarray, t: pa.Table) -> list:
+        ids, s, at = t.column(1).to_numpy(), estimates(t.column(2)), starts_of(sizes)
+        a, b, doubt = [], [], []
         for size in np.unique(sizes[(sizes > 1) & (sizes <= 24)]):
             first = at[:-1][sizes == size]
             i, j = np.triu_indices(size, 1)
             for few in np.array_split(first, max(1, len(first) * len(i) // 50_000)):
                 x, y = (few[:, None] + i).ravel(), (few[:, None] + j).ravel()
                 e = np.count_nonzero(s[x] == s[y], axis=1) / s.shape[1]
-                ok = e >= low
-                a.append(ids[x[ok]])
-                b.append(ids[y[ok]])
-                sure.append(e[ok] >= high)
+                sure, maybe = e >= high, (e >= low) & (e < high)
+                a.append(ids[x[sure]])
+                b.append(ids[y[sure]])
+                doubt += [x[maybe], y[maybe]]
         for k in np.flatnonzero(sizes > 24):
-            own = ids[at[k] : at[k + 1]]
-            for pairs, flag in zip(similar_in_node(s[at[k] : at[k + 1]], low, high), (True, False)):
-                if pairs:
-                    p = np.array(pairs)
-                    a.append(own[p[:, 0]])
-                    b.append(own[p[:, 1]])
-                    sure.append(np.full(len(p), flag))
-        return a, b, sure
-
-    def run(batches):
-        held: list[tuple] = []  # the node that the next batch may go on with
-        for last, batch in lookahead(batches):
-            path = batch.column(0).to_numpy()
-            ids = batch.column(1).to_numpy()
-            s = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(len(ids), POSITIONS)
-            held.append((path, ids, s))
-            end = len(path) if last else int(np.searchsorted(path, path[-1]))
-            if not last and end == 0:
-                continue
-            p, i, m = (np.concatenate([h[k] for h in held]) for k in range(3))
-            end += len(p) - len(path)
-            held = [(p[end:], i[end:], m[end:])] if end < len(p) else []
-            p, i, m = p[:end], i[:end], m[:end]
-            if not len(p):
-                continue
-            edges = np.flatnonzero(np.diff(p)) + 1
-            a, b, sure = links(i, m, np.diff(np.concatenate([[0], edges, [len(p)]])))
-            if a:
-                a, b, sure = np.concatenate(a), np.concatenate(b), np.concatenate(sure)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure)], ["a", "b", "sure"])
-
-    def lookahead(batches):
-        before = None
-        for b in batches:
-            if b.num_rows:
-                if before is not None:
-                    yield False, before
-                before = b
-        if before is not None:
-            yield True, before
+            own = slice(at[k], at[k + 1])
+            sure, maybe = similar_in_node(s[own], low, high)
+            if sure:
+                p = np.array(sure)
+                a.append(ids[own][p[:, 0]])
+                b.append(ids[own][p[:, 1]])
+            if maybe:
+                doubt.append(np.unique(np.array(maybe)) + at[k])
+        out = []
+        if a and (n := sum(map(len, a))):
+            x, y = np.concatenate(a), np.concatenate(b)
+            out.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(n, pa.int64())], ["a", "b", "path"]))
+        if doubt and len(d := np.unique(np.concatenate(doubt))):
+            out.append(pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.nulls(len(d), pa.int64()), pa.array(path[d])], ["a", "b", "path"]))
+        return out
 
-    return rows.select("path", "doc_id", "sketch").mapInArrow(run, "a long, b long, sure boolean")
+    return rows.select("path", "doc_id", "short").mapInArrow(lambda batches: nodes_in(batches, of), "a long, b long, path long")
 
 
 def candidate_links(reps: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (a, b, sure) over all trees; reps: (doc_id, sketch)."""
-    margin = MARGIN
+    """Distinct (a, b, path) of compared_nodes() over all trees; reps: (doc_id, sketch, short).
+
+    Only what a step needs is sent on: node memberships without sketches while nodes are counted, whole sketches of the
+    documents that branch again, and at the end, once for all levels, the low bytes that estimates are made of (values
+    that differ agree in them once in 256 times, far below the margin).
+    """
     roots = [c for t in range(TREES) for c in children(F.lit(t).cast("long"), F.col("sketch"))]
     frontier = reps.select("doc_id", F.explode(F.array(*roots)).alias("path"), F.lit(None).cast("long").alias("parent"))
-    found, used = None, []
+    active, leaves, used = reps.select("doc_id", "sketch"), None, []
     for depth in range(DEPTH):
         sized = frontier.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("path"))).where("n > 1")
         sized = cut(sized, "nodes")
         used.append(sized)
         dense = (F.col("n") > 0.5 * F.col("parent")) & F.col("parent").isNotNull()
         leaf = (F.col("n") <= LEAF) | dense if depth < DEPTH - 1 else F.lit(True)
-        rows = sized.where(leaf).join(reps, "doc_id").repartition("path").sortWithinPartitions("path")
-        links = links_in_nodes(rows, threshold - margin, threshold + margin).groupBy("a", "b").agg(F.max("sure").alias("sure"))
-        found = links if found is None else found.unionByName(links)
+        own = sized.where(leaf).select("path", "doc_id")
+        leaves = own if leaves is None else leaves.unionByName(own)
         wide = sized.where(~leaf)
         if depth == DEPTH - 1 or wide.isEmpty():
             break
-        frontier = wide.join(reps, "doc_id").select("doc_id", F.explode(F.array(*children(F.col("path"), F.col("sketch")))).alias("path"), F.col("n").alias("parent"))
-    out = cut(found.groupBy("a", "b").agg(F.max("sure").alias("sure")), "links")
+        nodes = wide.groupBy("doc_id").agg(F.collect_list(F.struct("path", "n")).alias("nodes"))
+        active = cut(active.select("doc_id", "sketch").join(nodes, "doc_id"), "active")
+        used.append(active)
+        below = F.flatten(F.transform("nodes", lambda x: F.array(*[F.struct(c.alias("path"), x["n"].alias("parent")) for c in children(x["path"], F.col("sketch"))])))
+        frontier = active.select("doc_id", F.explode(below).alias("c")).select("doc_id", "c.path", "c.parent")
+    rows = leaves.join(reps.select("doc_id", "short"), "doc_id").repartition("path").sortWithinPartitions("path")
+    out = cut(compared_nodes(rows, threshold - MARGIN, threshold + MARGIN).distinct(), "links")
     for u in used:
         drop_cut(u)
     return out
 
 
-def exact_links(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def exact_links(docs: DataFrame, members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(p, q): parts that a pair with this Jaccard similarity of shingle sets links; members: (path, doc_id, part).
+
+    A document's set, as the 32 low bits of its hashes, is sent once to each node, where pairs of different parts whose
+    estimates are near the threshold are compared until they are linked.
+    """
+    low, high = threshold - MARGIN, threshold + MARGIN
+    ids = members.select("doc_id").distinct()
 
     def step(b: pa.RecordBatch) -> list:
         i, texts = b.column(0), b.column(1).to_pylist()
         out = []
         for lo, hi in spans(texts):
             grams, counts = shingle_sets(texts[lo:hi])
-            out.append(pa.RecordBatch.from_arrays([i.slice(lo, hi - lo), lists(grams.view(np.int64), counts, pa.int64())], ["doc_id", "grams"]))
+            at = starts_of(counts)
+            few = grams.astype(np.uint32)
+            sets = pa.array([np.unique(few[s:e]).tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())
+            out.append(pa.RecordBatch.from_arrays([i.slice(lo, hi - lo), sets], ["doc_id", "grams"]))
         return out
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-    sets = arrow_map(rows, step, "doc_id long, grams array<long>")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= threshold * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+    def of(path: np.ndarray, sizes: np.ndarray, t: pa.Table) -> list:
+        part, s, grams, at = t.column(1).to_numpy(), estimates(t.column(2)), t.column(3), starts_of(sizes)
+        linked = []
+        for x, y in zip(at[:-1], at[1:]):
+            sets = [np.frombuffer(g, np.uint32) for g in grams.slice(x, y - x).to_pylist()]
+            own = part[x:y].copy()  # changes as parts are linked
+            for i in range(y - x - 1):
+                e = np.count_nonzero(s[x + i + 1 : y] == s[x + i], axis=1) / POSITIONS
+                for j in np.flatnonzero((e >= low) & (e < high)) + i + 1:
+                    if own[i] != own[j]:
+                        n, m = len(sets[i]), len(sets[j])
+                        if min(n, m) >= threshold * max(n, m):
+                            shared = n + m - len(np.union1d(sets[i], sets[j]))
+                            if shared >= threshold * (n + m - shared):
+                                linked.append((part[x + i], part[x + j]))
+                                own[own == own[j]] = own[i]
+        if not linked:
+            return []
+        p, q = zip(*linked)
+        return [pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], ["p", "q"])]
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL").join(ids, "doc_id", "left_semi")
+    sets = arrow_map(texts, step, "doc_id long, grams binary")
+    # A doc_id on several rows with different texts has several sets and one sketch; all its sets are compared.
+    rows = members.join(reps.select("doc_id", "short"), "doc_id").join(sets, "doc_id")
+    rows = rows.select("path", "part", "short", "grams").repartition("path").sortWithinPartitions("path")
+    return rows.mapInArrow(lambda batches: nodes_in(batches, of), "p long, q long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -295,14 +349,31 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = sig.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     mapped = sig.select("set_a", "set_b", "doc_id").join(first, ["set_a", "set_b"]).select("doc_id", "rep")
     same = mapped.where("doc_id <> rep").distinct()
-    reps = sig.join(first, ["set_a", "set_b"]).where("doc_id = rep").groupBy("doc_id", "set_a", "set_b").agg(F.first("sketch").alias("sketch")).select("doc_id", "sketch")
+    reps = sig.join(first, ["set_a", "set_b"]).where("doc_id = rep").groupBy("doc_id", "set_a", "set_b").agg(F.first("sketch").alias("sketch"), F.first("short").alias("short")).drop("set_a", "set_b")
     reps = cut(reps, "sets")
     links = candidate_links(reps, threshold)
-    edges = links.where("sure").select("a", "b").unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    doubtful = links.where("NOT sure")
+    sure = links.where("b IS NOT NULL").select("a", "b").unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    parts = components(sure)
+    doubtful = cut(between_parts(links.where("b IS NULL").select("path", F.col("a").alias("doc_id")), parts), "doubtful")
     if not doubtful.isEmpty():
-        edges = edges.unionByName(exact_links(docs, doubtful.select("a", "b"), threshold))
-    return components(edges).select("doc_id", F.col("root").alias("keeper_id"))
+        parts = joined_parts(parts, exact_links(docs, doubtful, reps, threshold))
+    return parts.select("doc_id", F.col("root").alias("keeper_id"))
+
+
+def between_parts(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(path, doc_id, part) in nodes of two parts at least; pairs inside a part can't change any group."""
+    own = members.join(parts.withColumnRenamed("root", "part"), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    node = Window.partitionBy("path")
+    mixed_nodes = own.withColumns({"lo": F.min("part").over(node), "hi": F.max("part").over(node)}).where("lo <> hi")
+    return mixed_nodes.select("path", "doc_id", "part")
+
+
+def joined_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, root) after linking parts p and q; a document that was in no part is one of its own."""
+    over = cut(components(links.select(F.col("p").alias("a"), F.col("q").alias("b"))), "roots")
+    up = over.select(F.col("doc_id").alias("root"), F.col("root").alias("higher"))
+    low = parts.join(up, "root", "left").select("doc_id", F.coalesce("higher", "root").alias("root"))
+    return low.unionByName(over.join(parts.select("doc_id"), "doc_id", "left_anti")).where("doc_id <> root")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
