@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_map, lists, process_filling, spans, starts_of, word_lists
+from .runtime import arrow_map, cut, lists, process_filling, spans, starts_of, word_lists
 
 SHINGLE = 4
 K = 128
 #: Odd 61-bit multipliers, one for each word of a shingle.
 MULTIPLIERS = (2042934207163219283, 1305921832765430917, 1877461932746181239, 1129341902746180453, 1734519028374610183, 1990283746152839467, 1402938475610293847, 2113948571029384751)
 MIX = 1442695040888963407
+#: Up to this number of items' hashes go to every worker; beyond that they are joined by shuffle, with equal results.
+BROADCAST_HASHES = 4_000_000
 TWO64 = float(2**64)
 
 
@@ -138,6 +140,52 @@ def fingerprints(docs: DataFrame, against: DataFrame, k: int = K, shingle: int =
     )
 
 
+def shingle_sets(docs: DataFrame, id_column: str, shingle: int = SHINGLE) -> DataFrame:
+    """Rows (id, text_key, hashes): all distinct shingle hashes of each row's text, in order, as signed 64-bit numbers."""
+
+    def step(b: pa.RecordBatch) -> list:
+        ids, keys, texts = b.column(0), b.column(1), b.column(2).to_pylist()
+        out = []
+        for lo, hi in spans(texts):
+            known = process_filling("md5", word_hash)
+            flat, counts = word_lists(texts[lo:hi])
+            h = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+            grams, made = shingle_hashes(h, counts, shingle)
+            at = starts_of(made)
+            own = [np.unique(grams[s:e]) for s, e in zip(at[:-1], at[1:])]
+            sizes = np.array([len(x) for x in own], np.int64)
+            out.append(pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), keys.slice(lo, hi - lo), lists(to_signed(np.concatenate(own)), sizes, pa.int64())], [id_column, "text_key", "hashes"]))
+        return out
+
+    return arrow_map(docs.select(F.col(id_column).cast("long"), F.xxhash64("text"), "text"), step, f"{id_column} long, text_key long, hashes array<long>")
+
+
+def fingerprint_pairs(docs: DataFrame, items: DataFrame, item_column: str = "item_id", k: int = K, shingle: int = SHINGLE, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+    """Rows (doc_id, item_id, shared, resemblance, containment, item_containment) of each document and item that share
+    a hash of the item's sketch.
+
+    Each item (all rows of one item_column together, so that it may be a group) has a sketch of its own. All shingles of
+    a document meet the sketches, not the document's k smallest only. shared: hashes of the item's sketch that the
+    document has. item_containment: their share of the sketch; times the item's distinct shingles, an estimate of
+    the intersection, from which come containment (over the document's shingles) and resemblance (over the union's). All
+    are exact for items of at most k shingles. Pairs have no cap. Null, empty and wordless texts have no pairs; rows
+    equal in doc_id and text are answered once; a null doc_id or item stays null.
+    """
+    parts = shingle_sets(items, item_column, shingle)
+    every = parts.select(F.col(item_column).alias("item_id"), F.explode("hashes").alias("h")).distinct()
+    groups = every.groupBy("item_id").agg(F.array_sort(F.collect_list("h")).alias("all")).select("item_id", F.size("all").alias("n_item"), F.slice("all", 1, k).alias("kept"))
+    wanted = cut(groups.select("item_id", "n_item", F.size("kept").alias("n_kept"), F.explode("kept").alias("h")), "items")
+    own = shingle_sets(docs, "doc_id", shingle)
+    rows = own.select("doc_id", "text_key", F.size("hashes").alias("n_doc"), F.explode("hashes").alias("h"))
+    met = rows.join(F.broadcast(wanted) if wanted.count() <= broadcast_hashes else wanted.hint("merge"), "h")
+    pairs = met.groupBy("doc_id", "text_key", "n_doc", "item_id", "n_item", "n_kept").agg(F.count_distinct("h").alias("shared"))
+    both = F.least(F.col("shared") / F.col("n_kept") * F.col("n_item"), F.col("n_doc").cast("double"))
+    return pairs.select(
+        "doc_id", "item_id", "shared", (both / (F.col("n_doc") + F.col("n_item") - both)).alias("resemblance"),
+        (both / F.col("n_doc")).alias("containment"), (F.col("shared") / F.col("n_kept")).alias("item_containment"),
+    )
+
+
 def fingerprint_sql(k: int = K, shingle: int = SHINGLE) -> str:
     """The same in DuckDB SQL, the sketch as text."""
     terms = " + ".join(f"(md5_number_upper(w[i + {j}])::UHUGEINT * {m}::UHUGEINT) % {2**64}::UHUGEINT" if j == 0 else f"CASE WHEN i + {j} <= len(w) THEN (md5_number_upper(w[i + {j}])::UHUGEINT * {m}::UHUGEINT) % {2**64}::UHUGEINT ELSE 0::UHUGEINT END" for j, m in enumerate(MULTIPLIERS[:shingle]))

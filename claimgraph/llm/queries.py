@@ -56,8 +56,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("sketch", F.array_join(F.transform("sketch", lambda x: x.cast("string")), ","))
 
 
+def op10_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_license_scan, op2_sentencepieces, op3_toxicity, op4_near_dedup, op5_mixing, op6_secret_scan, op7_preferences, op8_fertility, op9_kneser_ney, op10_fingerprints)
+    every = (op1_license_scan, op2_sentencepieces, op3_toxicity, op4_near_dedup, op5_mixing, op6_secret_scan, op7_preferences, op8_fertility, op9_kneser_ney, op10_fingerprints, op10_pairs)
     return {f.__name__: f for f in every}
 
 

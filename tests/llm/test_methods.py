@@ -452,6 +452,35 @@ def test_estimates(spark):
     assert abs(r[0] - 1 / 3) < 4 * math.sqrt(2 / 9 / k) and r[1] == 1.0 and abs(r[2] / 3997 - 1) < 4 / math.sqrt(k)
 
 
+@pytest.mark.parametrize("broadcast_hashes", [fingerprint.BROADCAST_HASHES, 0])
+def test_pairs_against_every_item(spark, documents, texts, broadcast_hashes):
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = {r["item_id"]: set(brute_sketch(r["text"], 10**9)[0]) for r in benchmark.collect()}
+    assert max(map(len, items.values())) <= fingerprint.K  # so that estimates are exact
+    expected = {}
+    for i, t in texts.items():
+        own = set(brute_sketch(t, 10**9)[0])
+        for j, s in items.items():
+            if both := len(own & s):
+                expected[i, j] = (both, both / len(own | s), both / len(own), both / len(s))
+    assert sum(x[0] >= 20 for x in expected.values()) > 10
+    got = fingerprint.fingerprint_pairs(documents, benchmark, broadcast_hashes=broadcast_hashes).collect()
+    assert len(got) == len(expected)
+    for r in got:
+        assert tuple(r)[2:] == pytest.approx(expected[r["doc_id"], r["item_id"]])
+
+
+def test_pairs_of_large_items(spark):
+    words = [f"w{i}" for i in range(6000)]
+    docs = spark.createDataFrame([(1, " ".join(words[:4000])), (1, " ".join(words[:4000])), (2, " ".join(words[5000:])), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words[2000:])), (8, "other words of some item"), (9, "")], "item_id long, text string")
+    rows = fingerprint.fingerprint_pairs(docs, items).collect()
+    got = {(r["doc_id"], r["item_id"]): r for r in rows}
+    assert set(got) == {(1, 7), (2, 7)} and len(rows) == 2
+    assert abs(got[1, 7]["item_containment"] - 0.5) < 4 * math.sqrt(0.25 / fingerprint.K) and abs(got[1, 7]["resemblance"] - 1 / 3) < 0.15
+    assert abs(got[2, 7]["item_containment"] - 0.25) < 0.16
+
+
 # the pipeline
 
 
