@@ -14,8 +14,9 @@ from .runtime import Numbers, arrow_map, cut, process_cache, spans, starts_of
 from .sentencepieces import SEGMENT
 
 #: A measure is out of its band if it is more than REACH quartile distances, plus SLACK over the root of the number of
-#: tokens, from the language's median.
-REACH, SLACK = 4.0, 2.0
+#: tokens, from the language's median. A stated choice, made on the labels of sf0.01; on those of sf0.1 it
+#: rejects 426 of 571 texts of quality 0 and 24 of 3,027 good ones.
+REACH, SLACK = 1.5, 1.0
 #: name of a measure, and the sides on which it rejects: characters per token both, share of fallback too high,
 #: evenness of tokens (entropy over the most that so many tokens can have) too low.
 MEASURES = (("chars_per_token", True, True), ("fallback", False, True), ("evenness", True, False))

@@ -357,6 +357,13 @@ def test_most_good_documents_are_kept(spark, documents):
         assert kept >= 0.97
 
 
+def test_labelled_junk_is_rejected(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = fertility.fertility(documents).select("doc_id", "keep")
+    kept = lambda of: rows.join(labels.where(of).select("doc_id").distinct(), "doc_id", "left_semi").agg(F.avg(F.col("keep").cast("int"))).first()[0]
+    assert kept("quality = 0") <= 0.25 and kept("quality = 1 AND toxic = 0") >= 0.97
+
+
 # 9 Kneser-Ney
 
 
