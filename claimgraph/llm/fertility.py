@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,22 @@ class PieceTokenizer:
         feed = self.sp.piece_to_id("<0x0A>")
         self.fallback = np.array([self.sp.is_byte(i) and i != feed for i in range(self.sp.get_piece_size())])
 
-    def segments(self, text: str) -> list[str]:
-        return SEGMENT.findall(" " + text)
-
-    def ids(self, segments: list[str]) -> list[list[int]]:
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts end to end, and their number for each text; each distinct segment is encoded once."""
+        index, found, per = Numbers(), [], np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            own = SEGMENT.findall(" " + t) if t else []
+            per[i] = len(own)
+            found += own
+        which = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
         # Behind a line feed no space is put before a segment; the first two pieces are that space and the line feed.
-        return [x[2:] for x in self.sp.encode(["\n" + s for s in segments], num_threads=1)]
+        ids = [x[2:] for x in self.sp.encode(["\n" + s for s in index], num_threads=1)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
+        taken = sizes[which]
+        at = np.repeat(starts_of(sizes)[:-1][which] - starts_of(taken)[:-1], taken) + np.arange(int(taken.sum()))
+        ends = starts_of(taken)[starts_of(per)]
+        return flat[at], np.diff(ends)
 
 
 class ByteTokenizer:
@@ -57,7 +68,6 @@ class ByteTokenizer:
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.ranks.splitlines())}
         self.enc = tiktoken.Encoding("fertility", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-        self.split = regex.compile(self.pattern)
         self.fallback = np.zeros(max(ranks.values()) + 1, bool)
         for token, i in ranks.items():
             try:
@@ -65,11 +75,11 @@ class ByteTokenizer:
             except UnicodeDecodeError:
                 self.fallback[i] = True
 
-    def segments(self, text: str) -> list[str]:
-        return self.split.findall(text)
-
-    def ids(self, segments: list[str]) -> list[list[int]]:
-        return self.enc.encode_ordinary_batch(segments, num_threads=1)
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts end to end, and their number for each text."""
+        ids = [self.enc.encode_ordinary(t) for t in texts]
+        per = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(per.sum())), per
 
 
 def default_tokenizers() -> dict[str, object]:
@@ -82,36 +92,19 @@ def default_tokenizers() -> dict[str, object]:
 
 
 def measure(texts: list[str | None], tok) -> dict[str, np.ndarray]:
-    """tokens, chars_per_token, fallback and evenness of each text; each distinct segment is encoded once."""
-    index = Numbers()
-    found, per = [], np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        if t:
-            own = tok.segments(t)
-            per[i] = len(own)
-            found += own
+    """tokens, chars_per_token, fallback, entropy and evenness of each text; a null text is an empty one."""
     chars = np.array([len(t) if t else 0 for t in texts], np.int64)
-    n = np.zeros(len(texts), np.int64)
-    odd, entropy = np.zeros(len(texts)), np.zeros(len(texts))
-    if found:
-        which = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
-        ids = tok.ids(list(index))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for own in ids for x in own), np.int64, int(sizes.sum()))
-        bad = np.add.reduceat(np.concatenate([tok.fallback[flat], [False]]).astype(np.int64), starts_of(sizes)[:-1]) * (sizes > 0)
-        row = np.repeat(np.arange(len(texts)), per)
-        n = np.bincount(row, weights=sizes[which], minlength=len(texts)).astype(np.int64)
-        odd = np.bincount(row, weights=bad[which], minlength=len(texts))
-        taken = sizes[which]
-        at = np.repeat(starts_of(sizes)[:-1][which] - starts_of(taken)[:-1], taken) + np.arange(int(taken.sum()))
-        key = np.sort((np.repeat(row, taken) << 20) | flat[at])
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        c = np.diff(np.concatenate([[0], cuts, [len(key)]])).astype(float)
-        first = key[np.concatenate([[0], cuts])] >> 20 if len(key) else np.zeros(0, np.int64)
-        sums = np.bincount(first, weights=c * np.log2(c), minlength=len(texts)) if len(key) else np.zeros(len(texts))
-        some = np.maximum(n, 1)
-        entropy = np.maximum(np.log2(some) - sums / some, 0.0)
+    flat, n = tok.tokens([t or "" for t in texts])
+    row = np.repeat(np.arange(len(texts)), n)
+    odd = np.bincount(row, weights=tok.fallback[flat], minlength=len(texts))
+    key = np.sort((row << 20) | flat)
+    sums = np.zeros(len(texts))
+    if len(key):
+        first = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+        c = np.diff(np.concatenate([first, [len(key)]])).astype(float)
+        sums = np.bincount(key[first] >> 20, weights=c * np.log2(c), minlength=len(texts))
     some = np.maximum(n, 1)
+    entropy = np.maximum(np.log2(some) - sums / some, 0.0)
     return {"tokens": n, "chars_per_token": chars / some, "fallback": odd / some, "entropy": entropy, "evenness": np.where(n > 1, entropy / np.log2(np.maximum(some, 2)), 1.0)}
 
 
