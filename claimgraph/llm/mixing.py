@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, fresh
+from .runtime import cut, fresh, looked_up, tables
 
 #: Target weight of a source: its number of documents to this power.
 TEMPERATURE = 0.9
-#: Least expected number of copies over all sources; the total follows from it.
-LEAST = 1.0
+#: Least expected number of copies over all sources, which is the largest one's; the total follows from it. Over 1, so that
+#: no document is left out, and not a whole number, so that the largest source is rounded too.
+LEAST = 1.25
 SEED = 11
 #: Fractions are whole numbers of this unit, so that mass moves without rounding errors.
 UNIT = 1 << 40
@@ -73,9 +72,9 @@ def target_copies(counts: DataFrame, weights: dict[str, float] | None, temperatu
     low = raw.where("x > 0").agg(F.min("x").alias("low"))
     copies = F.col("x") / F.col("low") * F.lit(least)
     whole = F.floor(copies)
-    out = raw.join(F.broadcast(low), how="cross").withColumn("whole", F.coalesce(whole, F.lit(0)).cast("long"))
+    out = raw.crossJoin(F.broadcast(low)).withColumn("whole", F.coalesce(whole, F.lit(0)).cast("long"))  # low is one row
     part = F.coalesce(F.round((copies - whole) * F.lit(float(UNIT))), F.lit(0.0)).cast("long")
-    return out.select("source", F.col("whole"), part.alias("fraction"), "n")
+    return out.select("source", "whole", part.alias("fraction"), "n")
 
 
 def mix_counts(
@@ -89,49 +88,53 @@ def mix_counts(
     copies. A null source is a source of its own, a null doc_id a document of its source. No rows, no result. Other
     columns, text included, aren't read.
     """
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source").distinct()
-    units = cut(units, "units")
-    counts = units.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    share = cut(target_copies(counts, weights, temperature, least), "targets")
-    # A leaf holds about LEAF documents of one source: the number of leaves is a power of FAN, by the source's size.
-    deep = share.agg(F.max("n")).first()[0] or 1
-    levels = max(0, math.ceil(math.log(max(1, deep / LEAF), FAN)))
-    joined = units.join(F.broadcast(share), units["source"].eqNullSafe(share["source"])).select(units["doc_id"], units["source"], "whole", "fraction", share["n"])
-    leaves = F.greatest(F.lit(1), F.ceil(F.col("n") / LEAF))
-    h = F.xxhash64("doc_id", F.lit(seed))
-    node = F.when(F.lit(levels == 0), F.lit(0)).otherwise(F.pmod(h, leaves)).cast("long")
-    rows = joined.select("doc_id", "source", F.col("fraction").alias("p"), node.alias("node"), h.alias("h"))
-    schema = "source string, node long, doc_id long, p long, done int"
-    decided = None
-    for level in range(levels + 1):
-
-        def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["h", "doc_id"], kind="stable", na_position="first")
-            source, at = pdf["source"].iloc[0], int(pdf["node"].iloc[0])
-            source = None if pd.isna(source) else source
-            ids = [None if pd.isna(i) else int(i) for i in pdf["doc_id"].astype(object)]
-            done, held = pivotal(list(zip(ids, pdf["p"].astype(int).tolist())), (seed, source, level, at))
-            if held is not None and level == levels:  # the root's fraction, at most one document of a source
-                done[held[0]] = int(draw(seed, source, "root") * UNIT < held[1] << 64)
-                held = None
-            out = [(i, UNIT * d, d) for i, d in done.items()] + ([(held[0], held[1], -1)] if held else [])
-            return pd.DataFrame({"source": pd.Series([source] * len(out), dtype=object), "node": at // FAN, "doc_id": pd.array([x[0] for x in out], dtype="Int64"), "p": [x[1] for x in out], "done": [x[2] for x in out]})
-
-        step = cut(rows.groupBy("source", "node").applyInPandas(settle, schema), "level")
-        some = step.where("done >= 0").select("source", "doc_id", "done")
-        decided = some if decided is None else decided.unionByName(some)
-        rows = step.where("done < 0").select("doc_id", "source", "p", "node", F.xxhash64("doc_id", F.lit(seed)).alias("h"))
-    out = decided.join(F.broadcast(share), decided["source"].eqNullSafe(share["source"]))
-    return out.select("doc_id", decided["source"], (F.col("whole") + F.col("done")).alias("copies"))
+    with tables(docs.sparkSession) as keep:
+        units = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source").distinct(), "units")
+        counts = units.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+        share = cut(target_copies(counts, weights, temperature, least), "targets")
+        # A leaf holds about LEAF documents of one source; as many levels above as the largest source takes to end in one node.
+        deep = share.agg(F.max("n")).first()[0] or 1
+        levels = 0
+        while deep > LEAF * FAN**levels:
+            levels += 1
+        h = F.xxhash64("doc_id", F.lit(seed))
+        node = F.pmod(h, F.ceil(F.col("n") / LEAF)).cast("long")
+        rows = looked_up(units, share, ["source"]).select("source", node.alias("node"), "doc_id", F.col("fraction").alias("p"), h.alias("h"))
+        decided = None
+        for level in range(levels + 1):
+            step = cut(rows.groupBy("source", "node").applyInArrow(settler(seed, level, level == levels), "source string, node long, doc_id long, p long, done int"), "level")
+            some = step.where("done >= 0").select("source", "doc_id", "done")
+            decided = some if decided is None else decided.unionByName(some)
+            rows = step.where("done < 0").select("source", "node", "doc_id", "p", h.alias("h"))
+        out = looked_up(decided, share, ["source"]).select("doc_id", "source", (F.col("whole") + F.col("done")).alias("copies"))
+        return keep(cut(out, "copies"))
+
+
+def settler(seed: int, level: int, root: bool):
+    """Pivotal rounding of one node's documents; what is left goes to the node above, at the root it is drawn."""
+
+    def settle(t: pa.Table) -> pa.Table:
+        source, at = t.column("source")[0].as_py(), t.column("node")[0].as_py()
+        rows = sorted(zip(t.column("h").to_pylist(), t.column("doc_id").to_pylist(), t.column("p").to_pylist()), key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+        done, held = pivotal([(i, p) for _, i, p in rows], (seed, source, level, at))
+        if held is not None and root:
+            done[held[0]] = int(draw(seed, source, "root") * UNIT < held[1] << 64)
+            held = None
+        out = [(i, UNIT * d, d) for i, d in done.items()] + ([(held[0], held[1], -1)] if held else [])
+        i, p, d = zip(*out)
+        return pa.table({"source": pa.array([source] * len(out), pa.string()), "node": pa.array([at // FAN] * len(out), pa.int64()), "doc_id": pa.array(i, pa.int64()), "p": pa.array(p, pa.int64()), "done": pa.array(d, pa.int32())})
+
+    return settle
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row repeated as often as mix_counts() says; all columns stay. No copies, no row."""
-    counts = mix_counts(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("copies").alias("_copies"))
-    n, i = fresh(docs, "copies"), fresh(docs, "copy")
-    on = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source"))
-    names = {"_id": fresh(docs, "mix_id"), "_source": fresh(docs, "mix_source"), "_copies": n}
-    counts = counts.withColumnsRenamed(names)
-    on = docs["doc_id"].cast("long").eqNullSafe(counts[names["_id"]]) & docs["source"].eqNullSafe(counts[names["_source"]])
-    rows = docs.join(counts, on).drop(counts[names["_id"]], counts[names["_source"]])
+    """docs with each row repeated as often as mix_counts() says; all columns stay. No copies, no row.
+
+    Nulls are as there: a null source is a source, a null doc_id a document of its source. Repeated rows are each repeated.
+    Texts, empty and long ones too, aren't read. No rows give no rows. Columns that are named like the operator's own stay.
+    """
+    n, i, id_, source = fresh(docs, "copies"), fresh(docs, "copy"), fresh(docs, "mix_id"), fresh(docs, "mix_source")
+    counts = mix_counts(docs, **options).withColumnsRenamed({"doc_id": id_, "source": source, "copies": n})
+    on = docs["doc_id"].cast("long").eqNullSafe(counts[id_]) & docs["source"].eqNullSafe(counts[source])
+    rows = docs.join(counts, on).drop(id_, source)
     return rows.where(F.col(n) > 0).withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).drop(n, i)
