@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Numbers, arrow_map, cut, process_cache, spans, starts_of
+from .runtime import Numbers, arrow_map, cut, looked_up, process_cache, spans, starts_of, tables
 from .sentencepieces import SEGMENT
 
 #: A measure is out of its band if it is more than REACH quartile distances, plus SLACK over the root of the number of
@@ -123,7 +123,7 @@ def fertility(docs: DataFrame, tokenizers: dict[str, object] | None = None) -> D
 
     Measures: tokens, chars_per_token, fallback (share), entropy (bits a token), evenness. Bands come from medians and
     quartiles over all texts with tokens of a language, or, where lang is null, of a script ("script:latin"). A text is
-    kept if every measure of every vocabulary is in its band. Null and empty texts have no tokens, 0 for every measure
+    kept if every measure of every vocabulary is in its band; quantiles are exact, on values of three decimals. Null and empty texts have no tokens, 0 for every measure
     (evenness 1), no part in bands, and aren't kept. A null doc_id stays null; repeated rows are answered each; other
     columns aren't read. Texts count in full.
     """
@@ -151,10 +151,13 @@ def fertility(docs: DataFrame, tokenizers: dict[str, object] | None = None) -> D
         return out
 
     schema = "doc_id long, lang string, " + ", ".join(f"{n} {'long' if n.endswith('_tokens') else 'double'}" for n in names)
-    rows = cut(arrow_map(docs.select(F.col("doc_id").cast("long"), "lang", "text"), step, schema), "fertility")
-    judged = [(k, m, lo, hi) for k in toks for m, lo, hi in MEASURES]
-    any_tokens = F.greatest(*[F.col(f"{k}_tokens") for k in toks], F.lit(0)) > 0
-    bands = rows.where(any_tokens).groupBy("lang").agg(*[F.percentile_approx(f"{k}_{m}", [0.25, 0.5, 0.75], 10000).alias(f"band_{k}_{m}") for k, m, _, _ in judged])
+    with tables(docs.sparkSession) as keep:
+        rows = keep(cut(arrow_map(docs.select(F.col("doc_id").cast("long"), "lang", "text"), step, schema), "fertility"))
+        judged = [(k, m, lo, hi) for k in toks for m, lo, hi in MEASURES]
+        any_tokens = F.greatest(*[F.col(f"{k}_tokens") for k in toks], F.lit(0)) > 0
+        # Exact percentiles of values of three decimals: what a task holds is bounded by the values there are.
+        bands = rows.where(any_tokens).groupBy("lang").agg(*[F.percentile(F.round(f"{k}_{m}", 3), [0.25, 0.5, 0.75]).alias(f"band_{k}_{m}") for k, m, _, _ in judged])
+        bands = keep(cut(bands, "bands"))
     inside = any_tokens
     for k, m, lo, hi in judged:
         q = F.col(f"band_{k}_{m}")
@@ -162,4 +165,4 @@ def fertility(docs: DataFrame, tokenizers: dict[str, object] | None = None) -> D
         width = F.lit(REACH) * (q[2] - q[0]) + F.lit(SLACK) * scale / F.sqrt(F.greatest(F.col(f"{k}_tokens"), F.lit(1)))
         x = F.col(f"{k}_{m}")
         inside = inside & (x >= q[1] - width if lo else F.lit(True)) & (x <= q[1] + width if hi else F.lit(True))
-    return rows.join(F.broadcast(bands), "lang", "left").select("doc_id", "lang", *names, F.coalesce(inside, F.lit(False)).alias("keep"))
+    return looked_up(rows, bands, ["lang"]).select("doc_id", "lang", *names, F.coalesce(inside, F.lit(False)).alias("keep"))
