@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import cut, tables
+
 END = "<|end|>"
 TRAINED = "assistant"
 
 
+def filled(turns):
+    """Turns without nulls: a null role is "unknown", a null text empty, a null turn both; a null array has none."""
+    one = lambda t: F.struct(F.coalesce(t["role"], F.lit("unknown")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))
+    return F.coalesce(F.transform(turns, one), F.array().cast("array<struct<role: string, text: string>>"))
+
+
 def rendered(turn):
     return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"), turn["text"], F.lit(END + "\n"))
 
@@ -43,11 +51,11 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     """Rows (conv_id, n_common, prompt, chosen, rejected, chosen_mask, rejected_mask) from (conv_id, chosen, rejected).
 
     chosen and rejected are arrays of (role, text). Equal conversations express no preference and give no row; if one
-    is a prefix of the other, its completion is empty. Empty arrays are conversations without turns; null ones count
-    as empty. A null conv_id stays null; repeated pairs are answered each; other columns aren't read.
+    is a prefix of the other, its completion is empty. Empty arrays are conversations without turns, as are null ones.
+    Inside them a null role is "unknown", a null text empty and a null turn a turn of both; none is left out. A null
+    conv_id stays null; repeated pairs are answered each; other columns aren't read; long texts count in full.
     """
-    none = F.array().cast("array<struct<role: string, text: string>>")
-    rows = pairs.select("conv_id", F.coalesce("chosen", none).alias("a"), F.coalesce("rejected", none).alias("b"))
+    rows = pairs.select("conv_id", filled("chosen").alias("a"), filled("rejected").alias("b"))
     rows = rows.withColumn("n", common_turns(F.col("a"), F.col("b"))).where((F.col("n") < F.size("a")) | (F.col("n") < F.size("b")))
     tail = lambda x: F.slice(F.col(x), F.col("n") + 1, F.size(x))
     rows = rows.select("conv_id", "n", F.slice("a", F.lit(1), F.col("n")).alias("p"), tail("a").alias("a"), tail("b").alias("b"))
@@ -66,16 +74,38 @@ def conversation_turns(conversations: DataFrame) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
+def next_ids(rows: DataFrame) -> DataFrame:
+    """(conv_id, next_id) for distinct conv_ids: the next one in order, and the first after the last.
+
+    Ranges of ids are ordered in a task each; only each range's first id, one row for each shuffle partition, meets in one.
+    """
+    ids = cut(rows.select("conv_id").repartitionByRange("conv_id").withColumn("part", F.spark_partition_id()), "ids")
+    firsts = ids.groupBy("part").agg(F.min("conv_id").alias("first"))
+    everything = Window.orderBy("part")
+    whole = everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = firsts.select("part", F.coalesce(F.lead("first").over(everything), F.min("first").over(whole)).alias("after"))
+    following = F.lead("conv_id").over(Window.partitionBy("part").orderBy("conv_id"))
+    return ids.join(F.broadcast(after), "part").select("conv_id", F.coalesce(following, "after").alias("next_id"))
+
+
 def mismatched_replies(conversations: DataFrame) -> DataFrame:
-    """(conv_id, chosen, rejected): the conversation, and its turns before its last assistant turn with the last reply
-    of the conversation whose id differs in the lowest bit, a reply to something else. Conversations without an
-    assistant turn, or without such a partner, give no pair. Turns behind the last assistant turn are left out."""
-    turns = conversation_turns(conversations)
-    n = F.size("turns")
-    from_end = F.array_position(F.reverse(F.transform("turns", lambda t: t["role"] == TRAINED)), F.lit(True)).cast("int")
-    rows = turns.where(from_end > 0).select("conv_id", F.slice("turns", F.lit(1), n - from_end + 1).alias("chosen"))
-    other = rows.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.element_at("chosen", -1).alias("reply"))
-    return rows.join(other, "conv_id").select("conv_id", "chosen", F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array("reply")).alias("rejected"))
+    """(conv_id, chosen, rejected): each conversation in full, and the same up to one of its assistant turns with another
+    conversation's last reply in that turn's place, a reply to something else.
+
+    The turn is the (conv_id mod n)-th of its n assistant turns, so that conversations fork early and late; the other
+    conversation is the next one by conv_id that has a reply, for the last one the first. Every conversation with an
+    assistant turn gives a pair; others have no reply that could be preferred, and give none. A single one is its own
+    partner. Nulls, repeated rows and long texts are as conversation_turns() says; no rows give no pairs.
+    """
+    with tables(conversations.sparkSession) as keep:
+        is_reply = lambda t: t["role"] == TRAINED
+        rows = conversation_turns(conversations).withColumn("replies", F.filter(F.transform("turns", lambda t, i: F.when(is_reply(t), i + 1)), lambda i: i.isNotNull())).where(F.size("replies") > 0)
+        rows = keep(cut(rows, "turns"))
+        nexts = keep(cut(next_ids(rows), "nexts"))
+    fork = F.element_at("replies", (F.pmod(F.col("conv_id"), F.size("replies")) + 1).cast("int"))
+    own = rows.select("conv_id", F.col("turns").alias("chosen"), F.slice("turns", F.lit(1), fork - 1).alias("start")).join(nexts, "conv_id")
+    other = rows.select(F.col("conv_id").alias("next_id"), F.element_at("turns", F.element_at("replies", -1)).alias("reply"))
+    return own.join(other, "next_id").select("conv_id", "chosen", F.concat("start", F.array("reply")).alias("rejected"))
 
 
 def preference_sql() -> str:
@@ -92,9 +122,10 @@ def preference_sql() -> str:
     return f"""
     WITH r AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
     t AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS w FROM r GROUP BY conv_id),
-    l AS (SELECT conv_id, w, list_position(list_reverse(list_transform(w, lambda x: x.role = '{TRAINED}')), true) AS e FROM t),
-    c AS (SELECT conv_id, w[1:len(w) - e + 1] AS a FROM l WHERE e > 0),
-    p AS (SELECT c.conv_id, c.a, list_concat(c.a[1:len(c.a) - 1], [d.a[len(d.a)]]) AS b FROM c JOIN c AS d ON d.conv_id = xor(c.conv_id, 1)),
+    l AS (SELECT conv_id, w, list_filter(range(1, len(w) + 1), lambda i: w[i].role = '{TRAINED}') AS e FROM t),
+    c AS (SELECT conv_id, w AS a, w[e[len(e)]] AS reply, w[1:e[((conv_id % len(e)) + len(e)) % len(e) + 1] - 1] AS start,
+        coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS next_id FROM l WHERE len(e) > 0),
+    p AS (SELECT c.conv_id, c.a, list_concat(c.start, [d.reply]) AS b FROM c JOIN c AS d ON d.conv_id = c.next_id),
     n AS (SELECT *, list_max([i for i in range(0, least(len(a), len(b)) + 1) if a[1:i] = b[1:i]]) AS n FROM p),
     s AS (SELECT conv_id, n, a[1:n] AS p, a[n + 1:] AS a, b[n + 1:] AS b FROM n WHERE n < len(a) OR n < len(b))
     SELECT conv_id, CAST(n AS INTEGER) AS n_common, {text('p')} AS prompt, {text('a')} AS chosen, {text('b')} AS rejected,

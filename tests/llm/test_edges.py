@@ -164,16 +164,21 @@ def test_preferences(spark):
         [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (1, 0, "user", "hi"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (2, None, None, None), (3, 0, "assistant", ""), (2, 1, "assistant", LONG), (None, 0, "user", "x"), (4, 0, "user", "alone"), (6, 0, "assistant", "same"), (7, 0, "assistant", "same")],
         "conv_id long, turn long, role string, text string",
     ).withColumns({"n": F.lit(1), "chosen": F.lit("x"), "turns": F.lit(2)})
-    got = {r["conv_id"]: r for r in preferences.format_preferences(preferences.mismatched_replies(conv)).collect()}
-    assert set(got) == {0, 1, 2, 3}
+    rows = preferences.format_preferences(preferences.mismatched_replies(conv)).collect()
+    got = {r["conv_id"]: r for r in rows}
+    assert set(got) == {0, 1, 2, 3, 7} and len(rows) == 5  # 6 is followed by an equal reply, 4 has none
     assert got[0]["prompt"] == "<|user|>\nhi<|end|>\n" and got[0]["chosen"] == "<|assistant|>\na<|end|>\n" and got[0]["rejected"] == "<|assistant|>\nb<|end|>\n"
     start, end = map(int, got[0]["chosen_mask"].split("-"))
-    assert got[0]["chosen"][start:end] == "a<|end|>"
-    assert LONG in got[2]["chosen"] and got[2]["prompt"] == "<|unknown|>\n<|end|>\n"
+    assert got[0]["chosen"][start:end] == "a<|end|>" and got[7]["rejected"] == "<|assistant|>\na<|end|>\n"
+    assert LONG in got[2]["chosen"] and LONG in got[1]["rejected"] and got[2]["prompt"] == "<|unknown|>\n<|end|>\n"
     assert preferences.format_preferences(preferences.mismatched_replies(conv.limit(0))).count() == 0
     turn = "array<struct<role: string, text: string>>"
     pairs = spark.createDataFrame([(None, [], [("assistant", "x")]), (1, None, None), (2, [("user", None)], [("user", None)])], f"conv_id long, chosen {turn}, rejected {turn}")
     assert [(r["conv_id"], r["n_common"], r["chosen"]) for r in preferences.format_preferences(pairs).collect()] == [(None, 0, "")]
+    nulls = spark.createDataFrame([(1, [("user", "q"), ("assistant", None)], [("user", "q"), None, (None, "r")])], f"conv_id long, chosen {turn}, rejected {turn}")
+    r = preferences.format_preferences(nulls).first()
+    assert (r["prompt"], r["chosen"], r["rejected"]) == ("<|user|>\nq<|end|>\n", "<|assistant|>\n<|end|>\n", "<|unknown|>\n<|end|>\n<|unknown|>\nr<|end|>\n")
+    assert r["chosen_mask"] == "14-21" and r["chosen"][14:21] == "<|end|>" and r["rejected_mask"] == ""
 
 
 def test_every_stage(spark, docs, empty, labels, tmp_path):

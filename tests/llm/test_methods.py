@@ -390,6 +390,21 @@ def test_preferences_turn_by_turn(spark):
             assert parts == [t + "<|end|>" for role, t in turns if role == "assistant"]
 
 
+def test_every_conversation_with_a_reply_is_paired(spark):
+    conv = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
+    rows = preferences.mismatched_replies(conv).collect()
+    with_reply = {r[0] for r in conv.where("role = 'assistant'").select("conv_id").distinct().collect()}
+    assert sorted(r["conv_id"] for r in rows) == sorted(with_reply)
+    nexts = dict(zip(sorted(with_reply), [*sorted(with_reply)[1:], min(with_reply)]))
+    last = {r["conv_id"]: [t for t in r["chosen"] if t["role"] == "assistant"][-1] for r in rows}
+    forks = Counter()
+    for r in rows:
+        n = len(r["rejected"]) - 1
+        assert r["rejected"][:n] == r["chosen"][:n] and r["chosen"][n]["role"] == "assistant" and r["rejected"][n] == last[nexts[r["conv_id"]]]
+        forks[n == max(i for i, t in enumerate(r["chosen"]) if t["role"] == "assistant")] += 1
+    assert min(forks.values()) > 50  # at the last reply, and before it
+
+
 # 8 fertility
 
 
@@ -421,6 +436,21 @@ def test_bands(spark):
     assert not got[1000] and not got[1001] and sum(got[i] for i in range(200)) >= 198
 
 
+def test_bands_by_definition(spark, documents):
+    rows = fertility.fertility(documents).collect()
+    for lang in ("en", "fr"):
+        own = [r for r in rows if r["lang"] == lang]
+        keep = np.ones(len(own), bool)
+        for tok in ("piece", "byte"):
+            n = np.array([r[f"{tok}_tokens"] for r in own])
+            for measure, low, high in fertility.MEASURES:
+                x = np.array([r[f"{tok}_{measure}"] for r in own])
+                a, mid, b = np.quantile(np.round(x[n > 0], 3), [0.25, 0.5, 0.75])
+                width = fertility.REACH * (b - a) + fertility.SLACK * (mid if measure == "chars_per_token" else 1) / np.sqrt(np.maximum(n, 1))
+                keep &= ((x >= mid - width) | (not low)) & ((x <= mid + width) | (not high)) & (n > 0)
+        assert [r["keep"] for r in own] == keep.tolist()
+
+
 def test_most_good_documents_are_kept(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     good = labels.where("quality = 1 AND toxic = 0").select("doc_id").distinct()
@@ -431,20 +461,25 @@ def test_most_good_documents_are_kept(spark, documents):
 
 def test_labelled_junk_is_rejected(spark, documents):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    rows = fertility.fertility(documents).select("doc_id", "keep")
-    kept = lambda of: rows.join(labels.where(of).select("doc_id").distinct(), "doc_id", "left_semi").agg(F.avg(F.col("keep").cast("int"))).first()[0]
-    assert kept("quality = 0") <= 0.25 and kept("quality = 1 AND toxic = 0") >= 0.97
+    for out in (fertility.fertility(documents), kneser_ney.quality(documents, labels)):
+        rows = out.select("doc_id", "keep")
+        kept = lambda of: rows.join(labels.where(of).select("doc_id").distinct(), "doc_id", "left_semi").agg(F.avg(F.col("keep").cast("int"))).first()[0]
+        assert kept("quality = 0") <= 0.25 and kept("quality = 1 AND toxic = 0") >= 0.97
 
 
 # 9 Kneser-Ney
 
 
+def symbols_of(gram, n):
+    return tuple((int(gram) >> (kneser_ney.BITS * i)) & (2**kneser_ney.BITS - 1) for i in range(n - 1, -1, -1))
+
+
 def brute_kneser_ney(texts, n):
     """Interpolated modified Kneser-Ney over symbol tuples, by definition."""
     grams = {n: Counter()}
     for t in texts:
         g, _ = kneser_ney.symbols([t])
-        grams[n].update(tuple((int(x) >> (12 * i)) & 4095 for i in range(n - 1, -1, -1)) for x in g)
+        grams[n].update(symbols_of(x, n) for x in g)
     for k in range(n - 1, 0, -1):
         grams[k] = Counter(g[1:] for g in grams[k + 1])
     d = {k: kneser_ney.discounts([sum(c == i for c in grams[k].values()) for i in (1, 2, 3, 4)]) for k in grams}
@@ -472,24 +507,51 @@ def test_model_by_definition(spark):
     got = {r["g"]: r["lp"] for r in model.logs(kneser_ney.gram_counts(asked).select("g")).collect()}
     p = brute_kneser_ney(train, kneser_ney.ORDER)
     for g in kneser_ney.symbols(ask)[0].tolist():
-        assert got[g] == pytest.approx(math.log(p(tuple((g >> (12 * i)) & 4095 for i in range(kneser_ney.ORDER - 1, -1, -1)))), abs=1e-9)
+        assert got[g] == pytest.approx(math.log(p(symbols_of(g, kneser_ney.ORDER))), abs=1e-9)
+
 
+def test_model_probabilities_add_up(spark):
+    """Over all symbols, and what is unknown, after contexts that are seen, half seen and unseen."""
+    train = ["abab", "abba", "ab漢"]
+    model = kneser_ney.Model(kneser_ney.gram_counts(spark.createDataFrame([(t,) for t in train], "text string")))
+    known = sorted({b for t in train for b in t.encode()})
+    contexts = [b"\1\1\1\1\1", b"\1\1\1ab", b"zzzab", b"zzzzz"]
+    asked = [(int.from_bytes(c + bytes([b]), "big"),) for c in contexts for b in [*known, 2]]  # 2 is never seen
+    got = {r["g"]: math.exp(r["lp"]) for r in model.logs(spark.createDataFrame(asked, "g long")).collect()}
+    for c in contexts:
+        assert sum(got[int.from_bytes(c + bytes([b]), "big")] for b in [*known, 2]) == pytest.approx(1.0)
 
-def test_probabilities_add_up():
-    p = brute_kneser_ney(["abab", "abba"], kneser_ney.ORDER)
-    seen = [ord("a"), ord("b"), 999]  # 999 stands for all that is unknown
-    for h in itertools.product([1, ord("a"), ord("b")], repeat=kneser_ney.ORDER - 1):
-        assert sum(p((*h, s)) for s in seen) == pytest.approx(1.0)
 
+def test_symbols_are_exact():
+    g, n = kneser_ney.symbols(["漢字", None, "", "a\n9"])
+    assert n.tolist() == [6, 0, 0, 3]
+    assert [x & 255 for x in g.tolist()] == [*"漢字".encode(), ord("a"), 32, ord("0")]
+    assert g.tolist()[6] == int.from_bytes(b"\1" * 5 + b"a", "big")
 
-def test_shards_equal_broadcast(spark, documents):
+
+def test_limits_by_definition(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = kneser_ney.quality(documents, labels).join(documents.select("doc_id", F.lower("text").alias("t")), "doc_id").collect()
+    for lang in ("en", "de"):
+        own = [r for r in rows if r["lang"] == lang]
+        x = np.round([math.log(r["perplexity"]) for r in own], 3)
+        lo, hi = np.quantile(x, kneser_ney.QUANTILES)
+        for r in own[:50]:
+            slack = kneser_ney.SLACK / math.sqrt(len(r["t"].encode()))
+            assert math.log(r["least"]) == pytest.approx(lo - kneser_ney.BELOW * (hi - lo) - slack, abs=1e-6)
+            assert math.log(r["most"]) == pytest.approx(hi + kneser_ney.ABOVE * (hi - lo) + slack, abs=1e-6)
+            assert r["keep"] == (r["least"] <= r["perplexity"] <= r["most"])
+
+
+def test_shards_equal_broadcast(spark, documents, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "PART_CHARS", 500_000)  # several shards of texts
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    few = documents.where("doc_id % 10 = 0")  # a fixture, not the query
-    a = {r["doc_id"]: (r["perplexity"], r["keep"]) for r in kneser_ney.quality(few, labels).collect()}
-    b = {r["doc_id"]: (r["perplexity"], r["keep"]) for r in kneser_ney.quality(few, labels, broadcast_grams=0).collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert a[k][1] == b[k][1] and a[k][0] == pytest.approx(b[k][0])
+    odd = spark.createDataFrame([(2**62 + 1, "words of some length", "en"), (2**62 + 2, "other words", "en"), (None, "no id", None), (None, None, None), (5, "", "en")], "doc_id long, text string, lang string")
+    every = documents.select("doc_id", "text", "lang").unionByName(odd)
+    a, b = (sorted(((r["doc_id"], r["lang"], r["keep"], r["perplexity"]) for r in kneser_ney.quality(every, labels, **o).collect()), key=repr) for o in ({}, {"broadcast_grams": 0}))
+    assert len(a) == len(b) == every.count() and {2**62 + 1, 2**62 + 2} <= {x[0] for x in b}
+    for x, y in zip(a, b):
+        assert x[:3] == y[:3] and x[3] == pytest.approx(y[3])
 
 
 # 10 fingerprints
