@@ -13,23 +13,27 @@ from .runtime import arrow_map, fresh
 
 MIN_LENGTH = 16
 WINDOW = 16
-CANDIDATE = f"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}"
+#: Names before "=", words before "_" and "-" aren't part of a candidate.
+CANDIDATE = f"[A-Za-z0-9+/]{{{MIN_LENGTH},}}={{0,2}}"
+SEPARATORS = "[+/=]"
+#: What a dictionary, an identifier or a counter looks like: words in camel case, capitals, with a short number behind, numbers.
+WORDLIKE = r"([a-z]{2,})?([A-Z][a-z]+)*[0-9]{0,4}|[a-z][0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]+"
 #: Entropy in bits that some window must reach. A class is the first whose pattern the whole candidate matches.
 CLASSES = (
     ("hex", r"[0-9a-f]+|[0-9A-F]+", 2.5),
     ("upper", r"[0-9A-Z]+", 3.0),
+    ("letters", r"[A-Za-z]+", 3.5),
     ("alnum", r"[0-9A-Za-z]+", 3.2),
-    ("base64", r"[0-9A-Za-z+/_=-]+", 3.2),
+    ("base64", r"[0-9A-Za-z+/=]+", 3.5),
 )
 #: Candidates that match one of these as a whole are never reported.
 ALLOW = (
     r"[0-9]+",  # bare numbers are no secrets: card or telephone numbers are for a scan for personal data
-    r"[A-Za-z+/_=-]+",  # words, rules of dashes, paths without a digit
-    r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}",  # UUIDs
     r".*EXAMPLE.*",  # documented sample keys
-    r"[0-9]{4}-[0-9]{2}-[0-9]{2}.*",  # dates
-    r"(sha|md)[0-9]+[-_=].*",  # digests that name themselves
 )
+#: Neither are those behind this: digests that name themselves.
+DIGEST = r"(sha|SHA|md|MD)-?[0-9]{1,3}[-_=:]$"
+LOOK_BACK = 10
 MASK = "<SECRET>"
 
 
@@ -59,26 +63,43 @@ def max_window_entropy(s: str, window: int = WINDOW) -> float:
     return math.log2(w) - least / w
 
 
-def secrets_in(text: str, candidate: re.Pattern, classes: list, allow: list[re.Pattern], window: int) -> list[tuple[int, int, str, float]]:
+class Rules:
+    def __init__(self, window: int, allow: tuple[str, ...]):
+        self.window = window
+        self.candidate, self.wordlike, self.digest, self.separators = map(re.compile, (CANDIDATE, WORDLIKE, DIGEST, SEPARATORS))
+        self.word, self.classes, self.allow = re.compile("[A-Za-z]{3}"), [(n, re.compile(p), e) for n, p, e in CLASSES], [re.compile(a) for a in allow]
+
+    def units(self, piece: str) -> list[tuple[int, str]]:
+        """(offset, text): the parts between separators if one is a word, as in paths and addresses; else the piece itself."""
+        parts = self.separators.split(piece)
+        if not any(self.wordlike.fullmatch(p) and self.word.search(p) for p in parts):
+            return [(0, piece)]
+        out, at = [], 0
+        for p in parts:
+            out.append((at, p))
+            at += len(p) + 1
+        return out
+
+
+def secrets_in(text: str, rules: Rules) -> list[tuple[int, int, str, float]]:
     """(start, end, class, entropy) of each secret in the text, in order; offsets count characters."""
     out = []
-    for m in candidate.finditer(text):
-        s = m.group()
-        if any(a.fullmatch(s) for a in allow):
-            continue
-        for name, pattern, least in classes:
-            if pattern.fullmatch(s):
-                e = max_window_entropy(s, window)
-                if e >= least - 1e-9:
-                    out.append((m.start(), m.end(), name, e))
-                break
+    for m in rules.candidate.finditer(text):
+        for offset, s in rules.units(m.group()):
+            at = m.start() + offset
+            if len(s) < MIN_LENGTH or any(a.fullmatch(s) for a in rules.allow) or rules.digest.search(text[max(0, at - LOOK_BACK) : at]):
+                continue
+            if all(rules.wordlike.fullmatch(p) for p in rules.separators.split(s)):
+                continue
+            for name, pattern, least in rules.classes:
+                if pattern.fullmatch(s):
+                    e = max_window_entropy(s, rules.window)
+                    if e >= least - 1e-9:
+                        out.append((at, at + len(s), name, e))
+                    break
     return out
 
 
-def compiled(allow: tuple[str, ...]) -> tuple:
-    return re.compile(CANDIDATE), [(n, re.compile(p), e) for n, p, e in CLASSES], [re.compile(a) for a in allow]
-
-
 def secret_scan(docs: DataFrame, window: int = WINDOW, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """Rows (doc_id, start_at, end_at, class, entropy), one for each secret found; offsets count characters.
 
@@ -86,17 +107,17 @@ def secret_scan(docs: DataFrame, window: int = WINDOW, allow: tuple[str, ...] =
     rows; a null doc_id stays null; repeated rows give repeated results; other columns aren't read; an empty
     table gives no rows. Long candidates are scanned in full, in time linear in their length.
     """
-    candidate, classes, allowed = compiled(allow)
+    rules = Rules(window, allow)
 
     def step(b: pa.RecordBatch) -> list:
-        out = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in secrets_in(t, candidate, classes, allowed, window)]
+        out = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in secrets_in(t, rules)]
         if not out:
             return []
         i, s, e, k, h = zip(*out)
         return [pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(k), pa.array(h, pa.float64())], ["doc_id", "start_at", "end_at", "class", "entropy"])]
 
     return arrow_map(
-        docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE)), step,
+        docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").rlike(CANDIDATE)), step,
         "doc_id long, start_at int, end_at int, class string, entropy double",
     )
 
@@ -104,14 +125,15 @@ def secret_scan(docs: DataFrame, window: int = WINDOW, allow: tuple[str, ...] =
 def redact_secrets(docs: DataFrame, window: int = WINDOW, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """docs with every secret in text replaced by MASK and n_chars, where there is one, made to fit.
 
-    All rows and columns stay, null and empty texts as they are; a text without secrets isn't touched.
+    All rows and columns stay, repeated rows each, null and empty texts as they are; a text without secrets isn't touched.
+    Long texts are scanned in full. No rows give no rows. Columns that are named like the operator's own stay as they are.
     """
-    candidate, classes, allowed = compiled(allow)
+    rules = Rules(window, allow)
 
     def redact(t: str | None) -> str | None:
         if t is None:
             return None
-        found = secrets_in(t, candidate, classes, allowed, window)
+        found = secrets_in(t, rules)
         if not found:
             return None
         parts, at = [], 0
@@ -138,13 +160,19 @@ def secret_sql() -> str:
     whole = lambda p: f"regexp_full_match(s, '{p}')"
     kinds = " ".join(f"WHEN {whole(p)} THEN '{n}'" for n, p, _ in CLASSES)
     least = " ".join(f"WHEN '{n}' THEN {e}" for n, _, e in CLASSES)
+    wordy = lambda x: f"list_bool_and(list_transform(string_split_regex({x}, '{SEPARATORS}'), lambda p: regexp_full_match(p, '{WORDLIKE}')))"
     return f"""
-    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '{CANDIDATE}') AS m,
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(text, '{CANDIDATE}') AS m,
         string_split_regex(text, '{CANDIDATE}') AS g FROM documents WHERE regexp_matches(text, '{CANDIDATE}')),
-    c AS (SELECT r, doc_id, k, m[k] AS s,
-        CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + list_sum(list_transform(m[1:k], lambda x: length(x))) - length(m[k]) AS INTEGER) AS start_at
+    c AS (SELECT r, doc_id, text, k, m[k] AS piece, string_split_regex(m[k], '{SEPARATORS}') AS parts,
+        list_sum(list_transform(g[1:k], lambda x: length(x))) + list_sum(list_transform(m[1:k], lambda x: length(x))) - length(m[k]) AS begin_at
       FROM d, unnest(range(1, len(m) + 1)) AS x(k)),
-    n AS (SELECT * FROM c WHERE NOT ({" OR ".join(whole(a) for a in ALLOW)})),
+    w AS (SELECT *, len(list_filter(parts, lambda p: regexp_full_match(p, '{WORDLIKE}') AND regexp_matches(p, '[A-Za-z]{{3}}'))) > 0 AS path FROM c),
+    u AS (SELECT doc_id, text, piece AS s, CAST(begin_at AS INTEGER) AS start_at FROM w WHERE NOT path UNION ALL
+      SELECT doc_id, text, parts[i], CAST(begin_at + i - 1 + coalesce(list_sum(list_transform(parts[1:i - 1], lambda p: length(p))), 0) AS INTEGER)
+      FROM w, unnest(range(1, len(parts) + 1)) AS x(i) WHERE path),
+    n AS (SELECT * FROM u WHERE length(s) >= {MIN_LENGTH} AND NOT ({" OR ".join(whole(a) for a in ALLOW)}) AND NOT {wordy("s")}
+      AND NOT regexp_matches(substr(text, greatest(start_at - {LOOK_BACK}, 0) + 1, least(start_at, {LOOK_BACK})), '{DIGEST}')),
     h AS (SELECT *, CASE {kinds} END AS class,
         list_max(list_transform(range(1, greatest(1, length(s) - {WINDOW} + 1) + 1),
           lambda i: list_aggregate(string_split(substr(s, i, {WINDOW}), ''), 'entropy'))) AS entropy FROM n)

@@ -66,7 +66,7 @@ def test_license(docs, empty, spark):
     text = "x\nReleased under the MIT License.\n" + LONG + "\nreleased under the mit license"
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None)], "doc_id long, text string")
     got = [tuple(r) for r in license_scan.license_scan(df).collect()]
-    assert sorted(got, key=repr) == sorted([(1, "mit", 2, 1.0), (1, "mit", 2, 1.0), (None, "mit", 2, 1.0)], key=repr)
+    assert sorted(got, key=repr) == sorted([(1, "mit", "mit", 1, 5, 1.0), (1, "mit", "mit", 1, 5, 1.0), (None, "mit", "mit", 1, 5, 1.0)], key=repr)
     assert license_scan.license_scan(df, templates={}).count() == 0
 
 
