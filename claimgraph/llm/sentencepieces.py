@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from .runtime import Numbers, arrow_map, lists, spans, starts_of
 
 SEED = 17
-#: Characters whose lattices are in memory at once.
-LATTICE_CHARS = 1_500_000
+#: Characters whose lattices are in memory at once, however long a text is.
+LATTICE_CHARS = 800_000
 ALPHA = 1.0
 #: No piece reaches over these cuts: a space only starts a piece, and no piece has a line feed.
 SEGMENT = re.compile(r" +[^ \n]*|[^ \n]+|\n")
+#: Nor over these: a lattice has LONGEST spaces and LONGEST other characters at most.
+LONGEST = 4096
+BOUNDED = re.compile(rf" {{1,{LONGEST}}}[^ \n]{{0,{LONGEST}}}|[^ \n]{{1,{LONGEST}}}|\n")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 GOLDEN = np.uint64(0xD1B54A32D192ED03)
 
@@ -172,19 +175,24 @@ def sample(lat: Lattice, which: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarr
 
 def encode_texts(texts: list[str | None], keys: np.ndarray, v: Vocabulary, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts end to end, and the number of each; keys: one 64-bit number for each row."""
-    index = Numbers()
     found, per_text = [], np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
         if t:
-            own = SEGMENT.findall(" " + t)
+            own = BOUNDED.findall(" " + t)
             per_text[i] = len(own)
             found += own
     if not found:
         return np.zeros(0, np.int32), per_text
-    which = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
-    ordinal = np.arange(len(which)) - np.repeat(starts_of(per_text)[:-1], per_text)
+    ordinal = np.arange(len(found)) - np.repeat(starts_of(per_text)[:-1], per_text)
     seeds = mix(mix(keys.astype(np.uint64) + np.uint64(seed))[np.repeat(np.arange(len(texts)), per_text)] + ordinal.astype(np.uint64) * BASE)
-    codes, count = sample(lattices(list(index), v), which, seeds)
+    group = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // LATTICE_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(found)]
+    made = []
+    for lo, hi in zip(cuts, cuts[1:]):
+        index = Numbers()
+        which = np.fromiter(map(index.__getitem__, found[lo:hi]), np.int64, hi - lo)
+        made.append(sample(lattices(list(index), v), which, seeds[lo:hi]))
+    codes, count = (np.concatenate(x) for x in zip(*made))
     size = len(v.pieces)
     per = np.add.reduceat(count, starts_of(per_text)[:-1][per_text > 0])
     counts = np.zeros(len(texts), np.int64)

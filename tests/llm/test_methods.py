@@ -154,6 +154,28 @@ def test_whole_corpus_round_trips_whatever_the_partitions(documents, texts):
     assert sum(other[i] != a[i][0] for i in a) > 0.9 * sum(len(t) > 20 for t in texts.values())
 
 
+def test_lattices_are_bounded_whatever_the_text(monkeypatch):
+    v = sentencepieces.load_vocabulary(sentencepieces.default_path())
+    texts = ["ab" * 9000, " " * 9000 + "x", None, "", "the cat sat " * 3000, "字" * 5000]
+    keys = np.arange(len(texts), dtype=np.uint64)
+    whole = sentencepieces.encode_texts(texts, keys, v)
+    largest = 0
+    made = sentencepieces.lattices
+
+    def watched(segments, v):
+        nonlocal largest
+        largest = max(largest, sum(map(len, segments)))
+        return made(segments, v)
+
+    monkeypatch.setattr(sentencepieces, "lattices", watched)
+    monkeypatch.setattr(sentencepieces, "LATTICE_CHARS", 3000)
+    ids, counts = sentencepieces.encode_texts(texts, keys, v)
+    assert largest <= 3000 + 2 * sentencepieces.LONGEST and np.array_equal(ids, whole[0]) and np.array_equal(counts, whole[1])
+    ends = np.cumsum(counts)
+    for t, s, e in zip(texts, ends - counts, ends):
+        assert sentencepieces.decode_ids(ids[s:e].tolist(), v.pieces) == (t or "")
+
+
 # 3 toxicity
 
 
