@@ -3,11 +3,14 @@
 Presence and type come from the VARIANT of the text, number and list text from a string map, which keeps
 numbers as written; of duplicate keys the last counts. Floats in exponent form of extreme size are printed
 from a double and are out of contract, as are integers of 19 digits or more written with a fraction ".0".
+Text behind a record, and a number of a declared field that no double can hold, make it unreadable ("serde").
+Objects inside lists keep the order of their keys, or have them sorted at every depth with the lexicographic order.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,20 +21,27 @@ from .schema import Field, Schema
 
 ERROR = "struct<code: string, field: string, expected: string, actual: string, message: string>"
 LOWEST, HIGHEST = -(2**63), 2**64 - 1
+NUMBER = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let the last of duplicate keys count, as JSON readers do."""
+    """Let the last of duplicate keys count, as JSON readers do. This stays set in the session: plans read it late."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
+def lower_escapes(text: Column) -> Column:
+    """JSON text with control characters as \\u and lower-case hex. A backslash that is itself escaped starts no escape."""
+    low = text
+    for code in (*range(0x0A, 0x10), *range(0x1A, 0x20)):
+        if code not in (0x0A, 0x0C, 0x0D):
+            low = F.regexp_replace(low, F.lit(rf"(?<!\\)((?:\\\\)*)\\u{code:04X}"), F.lit(rf"$1\\u{code:04x}"))
+    return F.when(text.contains("\\u00"), low).otherwise(text)
+
+
 def quoted(c: Column) -> Column:
     """A JSON string literal: short escapes, other controls as \\u and lower-case hex, all else as it is."""
     text = F.to_json(F.struct(c.alias("v")))
-    text = F.substring(text, F.lit(6), F.length(text) - 6)
-    for code in (*range(0x0A, 0x10), 0x1A, 0x1B, 0x1C, 0x1D, 0x1E, 0x1F):
-        if code not in (0x0A, 0x0C, 0x0D):
-            text = F.replace(text, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
+    text = lower_escapes(F.substring(text, F.lit(6), F.length(text) - 6))
     return F.when(c.rlike("[\\x00-\\x1f]"), text).otherwise(F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
 
 
@@ -42,29 +52,27 @@ def member(v: Column, name: str) -> Column:
     return F.variant_get(v, f"$['{name}']", "variant")
 
 
-def type_name(kind: Column, is_null: Column) -> Column:
+def type_name(kind: Column) -> Column:
     """JSON type name from schema_of_variant."""
     return (
-        F.when(is_null, "null").when(kind == "BOOLEAN", "bool").when(kind == "STRING", "string")
+        F.when(kind == "VOID", "null").when(kind == "BOOLEAN", "bool").when(kind == "STRING", "string")
         .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("number")
     )
 
 
 def accepts(kind: Kind, spark_kind: Column, text: Column) -> Column:
     """Whether a value of this VARIANT type fits the field's kind."""
-    number = spark_kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
     if kind.name in ("string", "cid", "ref"):
         return spark_kind == "STRING"
     if kind.name == "bool":
         return spark_kind == "BOOLEAN"
     if kind.name == "float":
-        return number
+        return spark_kind.rlike(NUMBER)
     if kind.name == "list":
         return spark_kind.startswith("ARRAY")
     whole = text.try_cast("decimal(38,0)")
-    return ((spark_kind == "BIGINT") | (spark_kind.rlike(r"^DECIMAL\(\d+,0\)$") & text.rlike(r"^-?[0-9]+$"))) & whole.between(
-        F.lit(str(LOWEST)).cast("decimal(38,0)"), F.lit(str(HIGHEST)).cast("decimal(38,0)")
-    ) & (text != "-0")
+    wide = spark_kind.rlike(r"^DECIMAL\(\d+,0\)$") & text.rlike(r"^-?[0-9]+$") & whole.between(F.lit(str(LOWEST)).cast("decimal(38,0)"), F.lit(str(HIGHEST)).cast("decimal(38,0)"))
+    return ((spark_kind == "BIGINT") | wide) & (text != "-0")
 
 
 def plain_number(text: Column) -> Column:
@@ -77,16 +85,52 @@ def plain_number(text: Column) -> Column:
     return F.when(~text.contains("E"), text).when(digits.between(-5, 15), plain).otherwise(short)
 
 
+def list_text(text: Column, sort_keys: bool) -> Column:
+    """Compact list text of a string map with numbers and escapes as other printers have them; objects' keys sorted if asked.
+
+    Numbers outside strings are set between marks, which no JSON text has, and printed one by one. To sort keys, the text
+    goes through a VARIANT, which keeps them sorted but not numbers as they are: these go through it as strings.
+    """
+    mark, string, number = "\x02", r'"(?:\\.|[^"\\])*"', r"-?[0-9][0-9.E+-]*"
+    marked = F.regexp_replace(F.regexp_replace(text, F.lit(f"({string})|({number})"), F.lit(f"$1{mark}$2{mark}")), F.lit(mark * 2), F.lit(""))
+    numbers = F.transform(F.regexp_extract_all(marked, F.lit(f"{mark}([^{mark}]*){mark}"), F.lit(1)), plain_number)
+    others = F.split(marked, f"{mark}[^{mark}]*{mark}")
+    printed = F.array_join(F.zip_with(others, numbers, lambda o, n: F.concat(o, F.coalesce(n, F.lit("")))), "")
+    out = F.when(text.rlike("[0-9]E"), printed).otherwise(text)
+    if sort_keys:
+        # \\u0001n stands before a number, \\u0001u for \\u0001 itself.
+        as_strings = F.regexp_replace(F.replace(marked, F.lit("\\u0001"), F.lit("\\u0001u")), F.lit(f"{mark}([^{mark}]*){mark}"), F.lit(r'"\\u0001n$1"'))
+        ordered = F.to_json(F.try_parse_json(as_strings))
+        ordered = F.replace(F.regexp_replace(ordered, F.lit(r'"\\u0001n([^"]*)"'), F.lit(f"{mark}$1{mark}")), F.lit("\\u0001u"), F.lit("\\u0001"))
+        numbers = F.transform(F.regexp_extract_all(ordered, F.lit(f"{mark}([^{mark}]*){mark}"), F.lit(1)), plain_number)
+        others = F.split(ordered, f"{mark}[^{mark}]*{mark}")
+        out = F.when(text.contains("{"), F.array_join(F.zip_with(others, numbers, lambda o, n: F.concat(o, F.coalesce(n, F.lit("")))), "")).otherwise(out)
+    return lower_escapes(out)
+
+
 def parse(c: Column) -> tuple[Column, Column]:
     """The record as VARIANT and as a map of texts."""
     return F.try_parse_json(c), F.from_json(c, "map<string,string>")
 
 
+def ends(c: Column) -> Column:
+    """Whether nothing follows the first value of the text: only an object without others inside is seen to at a glance.
+
+    Else the text must be one element of a list and, should it close that list itself, one member of an object.
+    """
+    alone = F.coalesce(F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1, F.lit(False))
+    inside = F.coalesce(F.size(F.json_object_keys(F.concat(F.lit('{"k":'), c, F.lit("}")))) == 1, F.lit(False))
+    return c.rlike(r"^\s*\{[^{}]*\}\s*$") | (alone & (~c.contains("]") | inside))
+
+
 class Canon:
     """Expressions that canonicalise a JSON text column under a schema.
 
     key_order: "schema" (field order) or "lexicographic" (UTF-8 byte order of names).
     strict_lists: also check the elements of lists, an extension.
+
+    The work is in steps, each a set of columns made of the last one's: of a table they are columns of their own, so
+    that each is computed once; of a single expression they are bound by a lambda.
     """
 
     def __init__(self, schema: Schema, key_order: str = "schema", strict_lists: bool = False):
@@ -94,54 +138,101 @@ class Canon:
             raise ValueError("key_order is schema or lexicographic")
         self.schema, self.key_order, self.strict_lists = schema, key_order, strict_lists
 
-    def _build(self, c: Column, fields: list[Field], parsed: tuple[Column, Column] | None = None) -> Column:
-        v, texts = parsed or parse(c)
-        root = F.schema_of_variant(v)
+    def _parsed(self, c: Column) -> dict[str, Column]:
+        v, texts = parse(c)
+        return {"v": v, "texts": texts, "ends": ends(c)}
+
+    def _looked_up(self, x: Callable[[str], Column], fields: list[Field]) -> dict[str, Column]:
+        """The VARIANT type and the text of the root and of each field."""
+        texts = x("texts")
         repeats = F.size(F.array_distinct(F.map_keys(texts))) < F.size(texts)
-        parts: dict[str, Column] = {}
-        errors: list[Column] = []
-        for f in fields:
-            got = member(v, f.name)
-            kind = F.schema_of_variant(got)
-            text = F.when(repeats, F.element_at(F.filter(F.map_entries(texts), lambda e: e["key"] == f.name), -1)["value"]).otherwise(F.element_at(texts, f.name))
-            null = F.is_variant_null(got)
+        out = {"root": F.when(x("ends"), F.schema_of_variant(x("v")))}
+        for i, f in enumerate(fields):
+            last = F.try_element_at(F.filter(F.map_entries(texts), lambda e: e["key"] == f.name), F.lit(-1))["value"]  # noqa: B023
+            got = member(x("v"), f.name)
+            out[f"kind{i}"] = F.schema_of_variant(got)
+            out[f"text{i}"] = F.when(repeats, last).otherwise(F.element_at(texts, f.name))
+            if self.strict_lists and f.kind.name == "list":
+                out[f"items{i}"] = F.coalesce(self._elements_ok(got, f.kind.inner), F.lit(False))
+        return out
+
+    def _judged(self, x: Callable[[str], Column], fields: list[Field]) -> dict[str, Column]:
+        """The error and the printed member of each field, as far as it is there, and whether a number is out of range."""
+        out = {"root": x("root")}
+        for i, f in enumerate(fields):
+            kind, text = x(f"kind{i}"), x(f"text{i}")
             ok = accepts(f.kind, kind, text)
             if self.strict_lists and f.kind.name == "list":
-                ok = ok & F.coalesce(self._elements_ok(got, f.kind.inner), F.lit(False))
-            actual = type_name(kind, null)
+                ok = ok & x(f"items{i}")
+            actual = type_name(kind)
             wrong = error("type_mismatch", f.name, f.kind.label(), actual, F.concat(F.lit(f"field `{f.name}` expected {f.kind.label()}, got "), actual))
+            out[f"wrong{i}"] = F.when((kind == "VOID") | ~ok, wrong)
+            out[f"absent{i}"] = kind.isNull()
+            # Of numbers alone the map has text in quotation marks: an infinity.
+            over = kind.rlike(NUMBER) & text.startswith('"')
+            if f.kind.name == "list":
+                over = over | (kind.startswith("ARRAY") & ~kind.startswith("ARRAY<STRING") & text.rlike('[\\[,:]"-?Infinity"'))
+            out[f"over{i}"] = F.coalesce(over, F.lit(False))
+            body = quoted(text) if f.kind.name in ("string", "cid", "ref") else plain_number(text) if f.kind.name == "float" else list_text(text, self.key_order == "lexicographic") if f.kind.name == "list" else text
+            out[f"part{i}"] = F.when(kind.isNotNull(), F.concat(quoted(F.lit(f.name)), F.lit(":"), body))
+        return out
+
+    def _joined(self, x: Callable[[str], Column], fields: list[tuple[int, Field]]) -> Column:
+        """struct(canonical, error) of these fields by number."""
+        errors, over, root = [], F.lit(False), x("root")
+        for i, f in fields:
             absent = error("missing_field", f.name, None, None, F.lit(f"missing required field: {f.name}")) if f.required else F.lit(None).cast(ERROR)
-            errors.append(F.when(got.isNull(), absent).when(null | ~ok, wrong))
-            body = quoted(text) if f.kind.name in ("string", "cid", "ref") else plain_number(text) if f.kind.name == "float" else self._list_text(got, text) if f.kind.name == "list" else text
-            parts[f.name] = F.when(got.isNotNull(), F.concat(quoted(F.lit(f.name)), F.lit(":"), body))
-        names = [f.name for f in fields] if self.key_order == "schema" else sorted(parts, key=str.encode)
-        whole = F.concat(F.lit("{"), F.concat_ws(",", *[parts[n] for n in names]), F.lit("}"))
-        root_null = F.is_variant_null(v)
-        no_object = error("type_mismatch", "<root>", "object", type_name(root, root_null), F.concat(F.lit("field `<root>` expected object, got "), type_name(root, root_null)))
-        unread = error("serde", None, None, None, F.lit("serialization error: not JSON"))
-        err = F.when(v.isNull(), unread).when(root_null | ~root.startswith("OBJECT"), no_object).otherwise(F.coalesce(*errors, F.lit(None).cast(ERROR)))
+            errors.append(F.when(x(f"absent{i}"), absent).otherwise(x(f"wrong{i}")))
+            over = over | x(f"over{i}")
+        order = fields if self.key_order == "schema" else sorted(fields, key=lambda n: n[1].name.encode())
+        whole = F.concat(F.lit("{"), F.concat_ws(",", *[x(f"part{i}") for i, _ in order]), F.lit("}"))
+        no_object = error("type_mismatch", "<root>", "object", type_name(root), F.concat(F.lit("field `<root>` expected object, got "), type_name(root)))
+        unread = lambda why: error("serde", None, None, None, F.lit(f"serialization error: {why}"))
+        err = F.when(root.isNull(), unread("not JSON")).when(~root.startswith("OBJECT"), no_object).when(over, unread("number out of range")).otherwise(F.coalesce(*errors, F.lit(None).cast(ERROR)))
         return F.struct(F.when(err.isNull(), whole).alias("canonical"), err.alias("error"))
 
-    def _elements_ok(self, got: Column, inner: Kind) -> Column:
-        items = F.variant_get(got, "$", "array<variant>")
-        return F.forall(items, lambda x: accepts(inner, F.schema_of_variant(x), x.try_cast("string")))
+    def _fields(self) -> tuple[list[tuple[int, Field]], list[tuple[int, Field]]]:
+        """All fields by number, and those of the identity, all of them required."""
+        every = list(enumerate(self.schema.fields))
+        own = [(i, replace(f, required=True)) for i, f in every if f.identity]
+        return every, own
 
-    def _list_text(self, got: Column, text: Column) -> Column:
-        return text if self.key_order == "schema" else F.to_json(got)
+    def _expression(self, c: Column, fields: list[tuple[int, Field]]) -> Column:
+        step = lambda made, then: F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in made.items()])), lambda s: then(lambda k: s[k])), 1)
+        known = [f for _, f in fields]
+        numbered = list(enumerate(known))
+        return step(self._parsed(c), lambda x: step(self._looked_up(x, known), lambda y: step(self._judged(y, known), lambda z: self._joined(z, numbered))))
 
-    def encode(self, c: Column, parsed: tuple[Column, Column] | None = None) -> Column:
-        """struct(canonical, error): the record's canonical text, or why it has none; the first failing field counts.
+    def _elements_ok(self, got: Column, inner: Kind) -> Column:
+        items = F.try_variant_get(got, "$", "array<variant>")
+        return F.forall(items, lambda x: accepts(inner, F.schema_of_variant(x), x.try_cast("string")))
 
-        parsed: columns that hold parse(c), where several expressions share them.
-        """
-        return self._build(c, list(self.schema.fields), parsed)
+    def encode(self, c: Column) -> Column:
+        """struct(canonical, error): the record's canonical text, or why it has none; the first failing field counts."""
+        return self._expression(c, self._fields()[0])
 
-    def identity_projection(self, c: Column, parsed: tuple[Column, Column] | None = None) -> Column:
+    def identity_projection(self, c: Column) -> Column:
         """The same over identity fields alone, all of them required; other fields aren't looked at."""
-        own = [replace(f, required=True) for f in self.schema.identity_fields()]
+        own = self._fields()[1]
+        self._warn(own)
+        return self._expression(c, own)
+
+    def _warn(self, own: list) -> None:
         if not own:
-            warnings.warn(f"schema {self.schema.name!r} has no identity field: every record projects to {{}}", stacklevel=2)
-        return self._build(c, own, parsed)
+            warnings.warn(f"schema {self.schema.name!r} has no identity field: every record projects to {{}}", stacklevel=3)
+
+    def columns(self, df: DataFrame, column: str, whole: str, own: str) -> DataFrame:
+        """df with columns `whole` (what encode() gives) and `own` (identity_projection()), everything computed once."""
+        every, mine = self._fields()
+        self._warn(mine)
+        known = [f for _, f in every]
+        name = lambda n, k: f"__canonical{n}_{k}"
+        rows, made = df, []
+        for n, step in enumerate((lambda x: self._parsed(F.col(column)), lambda x: self._looked_up(x, known), lambda x: self._judged(x, known))):
+            cols = {name(n, k): v for k, v in step(lambda k: F.col(name(n - 1, k))).items()}  # noqa: B023
+            rows, made = rows.withColumns(cols), made + list(cols)
+        last = lambda k: F.col(name(2, k))
+        return rows.withColumns({whole: self._joined(last, every), own: self._joined(last, mine)}).drop(*made)
 
     @staticmethod
     def decode(c: Column) -> Column:
@@ -151,7 +242,7 @@ class Canon:
     def strict(self, c: Column) -> Column:
         """Canonical text; raises the error of a record that has none."""
         r = self.encode(c)
-        return F.when(r["error"].isNotNull(), F.raise_error(r["error"]["message"])).otherwise(r["canonical"])
+        return F.element_at(F.transform(F.array(r), lambda x: F.when(x["error"].isNotNull(), F.raise_error(x["error"]["message"])).otherwise(x["canonical"])), 1)
 
 
 def error(code: str, field: str | None, expected: str | None, actual, message: Column) -> Column:
@@ -164,19 +255,26 @@ def cid(canonical: Column) -> Column:
     return F.sha2(canonical, 256)
 
 
+def refuse_clashes(df: DataFrame, made: tuple[str, ...]) -> None:
+    """Raise if df has a column of one of these names."""
+    taken = sorted({c.lower() for c in df.columns} & set(made))
+    if taken:
+        raise ValueError(f"the table already has columns named {', '.join(taken)}: rename them")
+
+
 def encode_table(df: DataFrame, column: str, schema: Schema, **options) -> DataFrame:
-    """df with columns canonical, error, cid, identity and identity_hash for the JSON text in `column`."""
+    """df with columns canonical, error, cid, identity and identity_hash for the JSON text in `column`.
+
+    Raises if df has a column of one of these names already.
+    """
+    refuse_clashes(df, ("canonical", "error", "cid", "identity", "identity_hash"))
     prepare(df.sparkSession)
-    canon = Canon(schema, **options)
-    v, texts, whole, own = (f"__canonical_{n}" for n in ("variant", "texts", "record", "identity"))
-    # Columns of their own, so that the optimiser parses each record once for both expressions.
-    rows = df.withColumns(dict(zip((v, texts), parse(F.col(column)))))
-    parsed = F.col(v), F.col(texts)
-    rows = rows.withColumns({whole: canon.encode(F.col(column), parsed), own: canon.identity_projection(F.col(column), parsed)})
+    whole, own = "__canonical_record", "__canonical_identity"
+    rows = Canon(schema, **options).columns(df, column, whole, own)
     return rows.withColumns({
         "canonical": F.col(f"{whole}.canonical"), "error": F.col(f"{whole}.error"), "cid": cid(F.col(f"{whole}.canonical")),
         "identity": F.col(f"{own}.canonical"), "identity_hash": cid(F.col(f"{own}.canonical")),
-    }).drop(v, texts, whole, own)
+    }).drop(whole, own)
 
 
 def encode_struct(schema: Schema, columns: dict[str, Column] | None = None) -> Column:

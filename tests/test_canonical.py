@@ -73,6 +73,53 @@ def test_lists_are_checked_only_when_strict(spark):
     assert encode(spark, s, ['{"xs":3}'])[0][1] == "type_mismatch"
 
 
+def test_lists_print_equal_bytes(spark):
+    s = Schema("l", 1).optional("xs", list_of(FLOAT))
+    texts = ['{"xs":[1.0, 2.50,1e2 , 18446744073709551615,1E-7,-0.0]}', '{"xs":[{"b":1.0,"a":{"d":2e1,"c":"E1 5"}},"1E5",null]}', '{"xs":["\\u001F\\u000b\\\\u001F\\/é", "\\u0001n5", {"z":"\\u0001u"}]}', '{"xs":[]}']
+    same = ['{"xs":[1.0,2.5,100.0,18446744073709551615,1e-7,-0.0]}', None, None, '{"xs":[]}']
+    for order, second, third in (
+        ("schema", '{"xs":[{"b":1.0,"a":{"d":20.0,"c":"E1 5"}},"1E5",null]}', '{"xs":["\\u001f\\u000b\\\\u001F/é","\\u0001n5",{"z":"\\u0001u"}]}'),
+        ("lexicographic", '{"xs":[{"a":{"c":"E1 5","d":20.0},"b":1.0},"1E5",null]}', '{"xs":["\\u001f\\u000b\\\\u001F/é","\\u0001n5",{"z":"\\u0001u"}]}'),
+    ):
+        got = [g[0] for g in encode(spark, s, texts, key_order=order)]
+        assert got == [same[0], second, third, same[3]]
+        assert [g[0] for g in encode(spark, s, got, key_order=order)] == got
+        for t, g in zip(texts, got):
+            assert json.loads(g) == json.loads(t)
+    a, b = (encode(spark, s, [t], key_order="lexicographic")[0][0] for t in ('{"xs":[{"b":1,"a":2.0}]}', '{"xs":[{"a":2.0,"b":1}]}'))
+    assert a == b == '{"xs":[{"a":2.0,"b":1}]}'
+
+
+def test_numbers_out_of_range_and_trailing_text(spark):
+    s = Schema("t", 1).optional("f", FLOAT).optional("i", INTEGER).optional("t", STRING).optional("xs", list_of(FLOAT))
+    bad = ['{"f":1e400}', '{"f":-1e400}', '{"xs":[1e400]}', '{"xs":[1,{"a":-1e999}]}', '{"f":1} trailing', '{"f":1} {"f":2}', '{"f":1},{"f":2}', '{"f":1}] x', '{"f":1}}', '{"f":1}],[{"f":1}', '{"xs":[1]}] }', "[1] x"]
+    good = ['{"t":"Infinity"}', '{"xs":["Infinity"]}', ' {"f":1}\n', '{"t":"} {"}', '{"t":"]"}', '{"xs":[{"a":1}]}']
+    got = encode(spark, s, bad + good)
+    assert [g[1] for g in got[: len(bad)]] == ["serde"] * len(bad)
+    assert [g[0] for g in got[len(bad) :]] == [t.strip() for t in good]
+
+
+def test_expressions_equal_columns(spark):
+    s = observation()
+    texts = ['{"subject":"s","predicate":"p","value":"v","confidence":0.5}', '{"subject":"s","predicate":"p"}', "[1]", "{bad", '{"subject":1}', None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, record string")
+    rows = encode_table(df, "record", s).withColumns({"e": Canon(s).encode(F.col("record")), "p": Canon(s).identity_projection(F.col("record"))}).collect()
+    for r in rows:
+        assert (r["canonical"], r["error"]) == tuple(r["e"]) and r["identity"] == r["p"]["canonical"]
+
+
+def test_each_member_is_looked_up_once(spark):
+    df = spark.createDataFrame([("{}",)], "record string")
+    plan = encode_table(df, "record", observation())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get") <= 4 and plan.count("schema_of_variant") + plan.count("schemaOfVariant") <= 5
+
+
+def test_columns_of_the_caller_stay(spark):
+    df = spark.createDataFrame([("{}", 1)], "record string, error int")
+    with pytest.raises(ValueError, match="error"):
+        encode_table(df, "record", observation())
+
+
 def test_key_order(spark):
     s = Schema("k", 1).required("b", STRING).required("a", STRING).required("Z", STRING)
     text = '{"a":"1","b":"2","Z":"3"}'
