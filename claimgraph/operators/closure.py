@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, tables
 from .mappings import KEY
 
 STEP = "struct<schema: string, field: string>"
@@ -30,39 +28,27 @@ def edges_of(mappings: DataFrame) -> DataFrame:
     return there.unionByName(back)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the folder of spark.checkpoint.dir; a local one only where none is set."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="claimgraph-")
-        spark.sparkContext.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/claimgraph/closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def transitive_closure(mappings: DataFrame, schema: str, field: str, max_hops: int) -> DataFrame:
     """(schema, field, steps, hops, confidence): every other field within max_hops, by the first shortest path.
 
     Paths of a length are compared key by key. confidence is the product along the path. Best first, then by hops and
     path. A start that no mapping knows, or max_hops 0, gives no row.
     """
-    edges = saved(edges_of(mappings))
     spark = mappings.sparkSession
-    start = F.struct(F.lit(schema).alias("schema"), F.lit(field).alias("field"))
-    frontier = spark.range(1).select(start.alias("node"), F.array(start).alias("steps"), F.lit(1.0).alias("confidence"), F.array().cast(f"array<{edges.schema['key'].dataType.simpleString()}>").alias("keys"))
-    seen, found = frontier.select("node"), None
-    for hop in range(1, max_hops + 1):
-        reached = frontier.join(edges, frontier["node"] == edges["a"]).select(
-            F.col("b").alias("node"), F.concat("steps", F.array("b")).alias("steps"), (F.col("confidence") * F.col("step")).alias("confidence"), F.concat("keys", F.array("key")).alias("keys"), "turn")
-        new = reached.join(seen, "node", "left_anti").groupBy("node").agg(F.min_by(F.struct("steps", "confidence", "keys"), F.struct("keys", "turn")).alias("p"))
-        frontier = saved(new.select("node", "p.*"))
-        if frontier.isEmpty():
-            break
-        part = frontier.select(F.col("node.schema").alias("schema"), F.col("node.field").alias("field"), "steps", F.lit(hop).alias("hops"), "confidence", "keys")
-        found = part if found is None else found.unionByName(part)
-        seen = seen.unionByName(frontier.select("node"))
-    if found is None:
-        found = frontier.limit(0).select(F.col("node.schema").alias("schema"), F.col("node.field").alias("field"), "steps", F.lit(0).alias("hops"), "confidence", "keys")
+    with tables(spark) as keep:
+        edges = cut(edges_of(mappings), "closure-edges")
+        start = F.struct(F.lit(schema).alias("schema"), F.lit(field).alias("field"))
+        frontier = spark.range(1).select(start.alias("node"), F.array(start).alias("steps"), F.lit(1.0).alias("confidence"), F.array().cast(f"array<{edges.schema['key'].dataType.simpleString()}>").alias("keys"))
+        row = lambda f, hop: f.select(F.col("node.schema").alias("schema"), F.col("node.field").alias("field"), "steps", F.lit(hop).alias("hops"), "confidence", "keys")
+        seen, found = frontier.select("node"), row(frontier, 0).limit(0)
+        for hop in range(1, max_hops + 1):
+            reached = frontier.join(edges, frontier["node"] == edges["a"]).select(
+                F.col("b").alias("node"), F.concat("steps", F.array("b")).alias("steps"), (F.col("confidence") * F.col("step")).alias("confidence"), F.concat("keys", F.array("key")).alias("keys"), "turn")
+            new = reached.join(seen, "node", "left_anti").groupBy("node").agg(F.min_by(F.struct("steps", "confidence", "keys"), F.struct("keys", "turn")).alias("p"))
+            frontier = cut(new.select("node", "p.*"), "closure-frontier")
+            if frontier.isEmpty():
+                break
+            found = found.unionByName(row(frontier, hop))
+            seen = seen.unionByName(frontier.select("node"))
+        found = keep(cut(found, "closure"))
     return found.orderBy(F.desc("confidence"), "hops", "keys").drop("keys")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import error, prepare
+from ..functions.canonical import NUMBER, ends, error, prepare, refuse_clashes
 from ..functions.kinds import CID, FLOAT, STRING
 from ..functions.schema import Schema
 
@@ -85,27 +85,35 @@ def from_json(df: DataFrame, column: str) -> DataFrame:
     """df with the fields of the mapping in a JSON text column, and error (null if it is a mapping).
 
     Checked in this order: an object, a direction, one of the three, a numeric confidence, then the six texts. Other
-    keys are passed over; the confidence isn't clamped.
+    keys are passed over; the confidence isn't clamped. Raises if df has a column of one of these names already.
     """
+    names = (*KEY, "confidence", "justification", "agent", "direction", "error")
+    refuse_clashes(df, names)
     prepare(df.sparkSession)
-    v = F.try_parse_json(F.col(column))
-    kind = F.schema_of_variant(v)
-    at = lambda n: F.variant_get(v, f"$.{n}", "variant")
-    is_text = lambda n: at(n).isNotNull() & (F.schema_of_variant(at(n)) == "STRING")
-    text = lambda n: F.when(is_text(n), F.try_variant_get(v, f"$.{n}", "string"))
-    wrong = lambda n, e, m: error("type_mismatch", n, e, None, F.lit(m))
-    missing = lambda n: error("missing_field", n, None, None, F.lit(f"missing required field: {n}"))
-    number = at("confidence").isNotNull() & F.schema_of_variant(at("confidence")).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    col = lambda n: F.col(f"__mapping_{n}")
+    put = lambda d, cols: d.withColumns({f"__mapping_{k}": v for k, v in cols.items()})
+    # A column for each step, so that a member is looked up once.
+    rows = put(df, {"v": F.when(ends(F.col(column)), F.try_parse_json(F.col(column)))})
+    rows = put(rows, {n: F.variant_get(col("v"), f"$.{n}", "variant") for n in names[:-1]} | {"root": F.schema_of_variant(col("v"))})
+    rows = put(rows, {f"kind_{n}": F.schema_of_variant(col(n)) for n in names[:-1]})
+    texts = [n for n in names[:-1] if n != "confidence"]
+    is_text = lambda n: F.coalesce(col(f"kind_{n}") == "STRING", F.lit(False))
+    number = F.coalesce(col("kind_confidence").rlike(NUMBER), F.lit(False))
+    values = {n: F.when(is_text(n), F.try_variant_get(col(n), "$", "string")) for n in texts}
+    values["confidence"] = F.when(number, F.try_variant_get(col("confidence"), "$", "double"))
+    rows = put(rows, {f"value_{n}": v for n, v in values.items()})
+    missing = lambda n: error("missing_field", n, None, None, F.lit(f"missing or invalid field: {n}"))
+    direction = col("value_direction")
     checks = [
-        F.when(v.isNull(), error("serde", None, None, None, F.lit("serialization error: not JSON"))),
-        F.when(F.is_variant_null(v) | ~kind.startswith("OBJECT"), wrong("<root>", "object", "field `<root>` expected object")),
-        F.when(~is_text("direction"), missing("direction")),
-        F.when(~text("direction").isin(*DIRECTIONS), wrong("direction", "|".join(DIRECTIONS), "field `direction` is none of the three")),
+        F.when(col("v").isNull(), error("serde", None, None, None, F.lit("serialization error: not JSON"))),
+        F.when(~col("root").startswith("OBJECT"), error("type_mismatch", "<root>", "object", None, F.lit("expected JSON object"))),
+        F.when(direction.isNull(), missing("direction")),
+        F.when(~direction.isin(*DIRECTIONS), error("type_mismatch", "direction", "|".join(DIRECTIONS), None, F.concat(F.lit("invalid direction: "), direction))),
         F.when(~number, missing("confidence")),
         *[F.when(~is_text(n), missing(n)) for n in (*KEY, "justification", "agent")],
     ]
-    fields = {n: text(n) for n in (*KEY, "justification", "agent", "direction")} | {"confidence": F.when(number, F.try_variant_get(v, "$.confidence", "double"))}
-    return df.withColumns(fields | {"error": F.coalesce(*checks)})
+    made = [c for c in rows.columns if c.startswith("__mapping_")]
+    return rows.withColumns({n: col(f"value_{n}") for n in names[:-1]} | {"error": F.coalesce(*checks)}).drop(*made)
 
 
 def reversed_mappings(mappings: DataFrame) -> DataFrame:

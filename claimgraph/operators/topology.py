@@ -27,15 +27,25 @@ class Topology:
     def members(self) -> DataFrame:
         return self.nodes.where("schema_cid IS NOT NULL AND identity_hash IS NOT NULL")
 
-    def _clusters(self) -> DataFrame:
+    def _agents(self) -> DataFrame:
+        """(key, agent_count) of each cluster."""
+        if self.cids_unique:
+            return self.members.groupBy(*KEY).agg(F.count_distinct("agent").alias("agent_count"))
+        own = self.members.select(*KEY, "node_cid").distinct()
+        return own.join(self.nodes.select("node_cid", "agent").distinct(), "node_cid").groupBy(*KEY).agg(F.count_distinct("agent").alias("agent_count"))
+
+    def _clusters(self, least_agents: int = 0) -> DataFrame:
+        """Agents are counted first, so that members of clusters with too few of them are never collected."""
         aggs = [F.count(F.lit(1)).alias("size")]
         if self.with_members:
             aggs.insert(0, F.transform(F.array_sort(F.collect_list(F.struct("ord", "node_cid"))), lambda x: x["node_cid"]).alias("node_cids"))
-        if self.cids_unique:
+        if self.cids_unique and not least_agents:
             return self.members.groupBy(*KEY).agg(*aggs, F.count_distinct("agent").alias("agent_count"))
-        own = self.members.select(*KEY, "node_cid").distinct()
-        agents = own.join(self.nodes.select("node_cid", "agent").distinct(), "node_cid").groupBy(*KEY).agg(F.count_distinct("agent").alias("agent_count"))
-        return self.members.groupBy(*KEY).agg(*aggs).join(agents, list(KEY))
+        agents, members = self._agents(), self.members.select(*KEY, "ord", "node_cid")
+        if least_agents:
+            agents = agents.where(F.col("agent_count") >= least_agents)
+            members = members.join(agents.select(*KEY), list(KEY), "left_semi")
+        return members.groupBy(*KEY).agg(*aggs).join(agents, list(KEY))
 
     def clusters(self) -> DataFrame:
         """(schema_cid, identity_hash, [node_cids,] size, agent_count), largest first."""
@@ -43,7 +53,7 @@ class Topology:
 
     def convergent_clusters(self) -> DataFrame:
         """Clusters with more than one agent."""
-        return self._clusters().where("agent_count > 1").orderBy(F.desc("size"), *KEY)
+        return self._clusters(2).orderBy(F.desc("size"), *KEY)
 
     def co_occurrences(self) -> DataFrame:
         """(schema_a, schema_b, count): how often a node of one schema has an ancestor of the other, in either order."""

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.canonical import encode_table
+from ..functions.canonical import Canon, encode_table
 from ..functions.canonical import cid as content_id
+from ..functions.kinds import BOOL, CID, FLOAT, INTEGER, STRING, list_of, ref
+from ..functions.schema import Schema, field_table, identity_fields
 from ..operators import align as al
 from ..operators import bridge, closure, domains, mappings
 from ..operators.topology import Topology
@@ -140,7 +142,75 @@ def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("schema", "field", steps.alias("steps"), "hops", F.round("confidence", 9).alias("confidence"))
 
 
+def canonical_optional_and_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optional fields, references and lists, in both key orders."""
+    rows = src.rich_records(spark, sf_dir)
+    other = encode_table(rows, "record", src.RICH_EVENT, key_order="lexicographic").select("event_id", F.col("canonical").alias("by_name"))
+    return encode_table(rows, "record", src.RICH_EVENT).select("event_id", "canonical", "cid", F.col("error").isNull().alias("ok")).join(other, "event_id")
+
+
+def canonical_bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encode_table(src.bad_records(spark, sf_dir), "record", src.RICH_EVENT)
+    return rows.select("event_id", "canonical", F.col("error.code").alias("code"), F.col("error.message").alias("message"))
+
+
+def canonical_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that canonical text gives back."""
+    v = Canon.decode(F.col("canonical"))
+    rows = encode_table(src.event_records(spark, sf_dir), "record", src.EVENT)
+    return rows.select("event_id", F.variant_get(v, "$.user_id", "bigint").alias("user_id"), F.variant_get(v, "$.event_type", "string").alias("event_type"), F.variant_get(v, "$.value", "double").alias("value"))
+
+
+def _schemas() -> list:
+    return [src.table_schema(n) for n in src.TABLES] + [src.RICH_EVENT]
+
+
+def schema_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical bytes and content ids of schemas, and what is read back from them."""
+    back = [Schema.from_json(s.canonical_text()) for s in _schemas()]
+    rows = [(s.name, s.version, s.to_canonical_bytes().decode(), s.cid(), len(b.fields), b == s) for s, b in zip(_schemas(), back)]
+    return spark.createDataFrame(rows, "name string, version long, canonical string, cid string, n_fields int, same boolean")
+
+
+def schema_identity_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity fields of a catalog table, with their kinds as text."""
+    return identity_fields(field_table(spark, _schemas())).select("schema_cid", "ord", "name", "kind", "required")
+
+
+def mapping_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defaults for what is missing, confidences into [0, 1]."""
+    gone = lambda n, k, c: F.when(F.col("ord") % n != k, F.col(c)).alias(c)
+    m = src.trade_mappings(spark, sf_dir).select(
+        "ord", *mappings.KEY, F.when(F.col("ord") % 5 != 0, F.col("confidence") * 4 - 3).alias("confidence"), gone(3, 0, "justification"), gone(7, 1, "agent"), gone(11, 2, "direction"))
+    return mappings.normalise(m)
+
+
+def mapping_bad_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with texts that aren't mappings."""
+    j, at = F.col("j"), lambda k: F.col("ord") % 8 == k
+    spoilt = (
+        F.when(at(0), F.lit("[1]")).when(at(1), F.lit("{")).when(at(2), F.replace(j, F.lit('"direction":"'), F.lit('"direction":"x'))).when(at(3), F.replace(j, F.lit('"direction"'), F.lit('"d"')))
+        .when(at(4), F.replace(j, F.lit('"confidence":'), F.lit('"confidence":"a","c":'))).when(at(5), F.replace(j, F.lit('"source_field":"'), F.lit('"source_field":1,"s":"'))).when(at(6), F.concat(j, F.lit(" x"))).otherwise(j)
+    )
+    m = src.trade_mappings(spark, sf_dir).select("ord", mappings.to_json().alias("j")).select("ord", spoilt.alias("j"))
+    return mappings.from_json(m, "j").select("ord", "source_field", "agent", F.col("error.code").alias("code"), F.col("error.field").alias("field"), F.col("error.message").alias("message"))
+
+
+def _every_kind() -> list:
+    return [STRING, INTEGER, FLOAT, BOOL, CID, ref("a"), ref("b"), list_of(INTEGER), list_of(FLOAT), list_of(list_of(STRING)), list_of(list_of(CID)), list_of(ref("a"))]
+
+
+def align_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type scores of all pairs of kinds, between fields that are named alike."""
+    a, b = Schema("a", 1), Schema("b", 1)
+    for i, k in enumerate(_every_kind()):
+        a, b = a.required(f"x{i:02}", k), b.required(f"y{i:02}", k)
+    c = al.align(al.fields_of(spark, a), al.fields_of(spark, b), al.AlignConfig(min_confidence=0.0))
+    return c.select("source_field", "target_field", "rationale.type_score")
+
+
 ALL = (
+    canonical_optional_and_lists, canonical_bad_records, canonical_decode, schema_bytes, schema_identity_fields, mapping_normalised, mapping_bad_json, align_kinds,
     canonical_events, identity_projection_events, canonical_errors, event_identity_clusters, clusters_documents, convergent_clusters,
     cooccurrence_conversations, topology_counts, nodes_of_schema, dedup_stats, latest_by_identity, cluster_sizes, align_tables, align_mappings,
     mapping_reversed, mapping_identity, mapping_json, mapping_content_ids, domain_membership, domain_sets, domain_bridges, disagreements,
@@ -159,10 +229,10 @@ CLUSTERS = f"""WITH {NODES}, a AS (SELECT m.schema_cid, m.identity_hash, count(D
     SELECT c.*, agent_count FROM c JOIN a USING (schema_cid, identity_hash)"""
 EVENT_TEXT = """'{"user_id":' || user_id || ',"event_type":"' || event_type || '","value":' || CAST(value AS VARCHAR) || '}'"""
 EVENT_ID = """'{"user_id":' || user_id || ',"event_type":"' || event_type || '"}'"""
-MAPPINGS = """m AS (SELECT row_number() OVER (ORDER BY p_type, p_brand, r_name, n_name, l_returnflag) AS ord, p_type AS source_schema, p_brand AS source_field,
+MAPPINGS = """m AS (SELECT CAST((((ascii(p_type) * 128 + ascii(substr(p_type, 2, 1))) * 1000 + CAST(substr(p_brand, 7) AS BIGINT)) * 1000 + n_nationkey) * 128 + ascii(l_returnflag) AS BIGINT) AS ord, p_type AS source_schema, p_brand AS source_field,
       r_name AS target_schema, n_name AS target_field, (70 + s % 30) / 100.0::DOUBLE AS confidence, '' AS justification, l_returnflag AS agent,
       CASE WHEN s % 20 = 0 THEN 'bidirectional' WHEN s % 20 = 1 THEN 'reverse' ELSE 'forward' END AS direction
-    FROM (SELECT p_type, p_brand, r_name, n_name, l_returnflag, sum(l_linenumber)::BIGINT AS s FROM lineitem JOIN part ON l_partkey = p_partkey
+    FROM (SELECT p_type, p_brand, r_name, n_name, n_nationkey, l_returnflag, sum(l_linenumber)::BIGINT AS s FROM lineitem JOIN part ON l_partkey = p_partkey
       JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL))"""
 DOMAINS = "d AS (SELECT * FROM (VALUES " + ", ".join(f"({o}, '{n}', {v}, {ids})" for o, n, v, ids in src.DOMAINS) + ") AS t(ord, name, version, ids))"
 MEMBERS = f"{DOMAINS}, mem AS (SELECT id AS schema_cid, arg_max(name, ord) AS domain FROM (SELECT ord, name, unnest(ids) AS id FROM d) GROUP BY id)"
@@ -193,8 +263,76 @@ CLOSURE = """WITH RECURSIVE n AS (SELECT n_nationkey AS i, r_name AS s, n_name A
     SELECT s AS schema, f AS field, array_to_string(x.p, '>') AS steps, x.h AS hops, round(x.c, 9) AS confidence FROM b"""
 
 
+def _rich_sql() -> str:
+    """The records' canonical text, put together from the columns."""
+    esc = "\\u001f/"
+    opt = lambda cond, text: f"CASE WHEN event_id % {cond[0]} = {cond[1]} THEN {text} ELSE '' END"
+    value = opt((2, 0), """',"value":' || CAST(value AS VARCHAR)""")
+    active, parent = opt((3, 0), """',"active":true'"""), opt((5, 2), """',"parent":"root"'""")
+    source = opt((5, 1), """',"source":"cid' || event_id || '"'""")
+    tags = lambda o: f"""'"tags":["' || event_type || '","t{esc}",null,true,' || {o} || ']'"""
+    plain, ordered = """'{"b":1.0,"a":' || event_id || '}'""", """'{"a":' || event_id || ',"b":1.0}'"""
+    parts = opt((4, 1), """',"parts":[2.5,100.0,' || event_id || ',1e-7,[],[1.0]]'""")
+    cut = lambda x: f"substr({x}, 2) || CASE WHEN {x} = '' THEN '' ELSE ',' END"
+    canonical = f"""'{{"user_id":' || user_id || {value} || {active} || {source} || {parent} || ',' || {tags(plain)} || {parts} || '}}'"""
+    before = f"({active} || {parent} || {parts} || {source})"
+    by_name = f"""'{{' || {cut(before)} || {tags(ordered)} || ',"user_id":' || user_id || {value} || '}}'"""
+    return f"SELECT event_id, {canonical} AS canonical, sha256({canonical}) AS cid, true AS ok, {by_name} AS by_name FROM events"
+
+
+def _bad_sql() -> str:
+    wrong = [
+        ("type_mismatch", "field `user_id` expected Integer, got string"), ("type_mismatch", "field `user_id` expected Integer, got number"), ("type_mismatch", "field `user_id` expected Integer, got null"),
+        ("type_mismatch", "field `tags` expected List(String), got object"), ("type_mismatch", "field `active` expected Bool, got array"), ("type_mismatch", "field `value` expected Float, got bool"),
+        ("missing_field", "missing required field: tags"), ("serde", "serialization error: not JSON"), ("serde", "serialization error: number out of range"), ("type_mismatch", "field `<root>` expected object, got array"),
+        ("type_mismatch", "field `user_id` expected Integer, got number"), ("type_mismatch", 'field `parent` expected Ref("event"), got null'),
+    ]
+    rows = ", ".join(f"({i}, '{c}', '{m}')" for i, (c, m) in enumerate(wrong))
+    return f"SELECT event_id, CAST(NULL AS VARCHAR) AS canonical, code, message FROM events JOIN (VALUES {rows}) AS w(i, code, message) ON event_id % {len(wrong)} = i"
+
+
+def _schema_rows() -> str:
+    """VALUES (schema, version, ord, name, kind as JSON, required, identity), written from the adapters' column lists."""
+    rows = []
+    for n, columns in src.TABLES.items():
+        for i, c in enumerate(columns.split()):
+            name, kind = c.split(":")
+            k = {"bigint": "integer", "int": "integer", "double": "float"}.get(kind, "string")
+            rows.append((n, 1, i, name, f'"{k}"', True, i == 0 and name.endswith("key")))
+    rich = [("user_id", '"integer"', True, True), ("value", '"float"', False, False), ("active", '"bool"', False, False), ("source", '"cid"', False, False), ("parent", '{"ref":"event"}', False, False),
+            ("tags", '{"list":"string"}', True, False), ("parts", '{"list":"float"}', False, False)]
+    rows += [("event", 3, i, *r) for i, r in enumerate(rich)]
+    return "f AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', {v}, {i}, '{n}', '{k}', {r}, {d})" for s, v, i, n, k, r, d in rows) + ") AS t(s, v, ord, name, kind, required, identity))"
+
+
+SCHEMA_TEXT = """t AS (SELECT s, v, count(*) AS n, '{"name":"' || s || '","version":' || v || ',"fields":[' ||
+    string_agg('{"name":"' || name || '","kind":' || kind || ',"required":' || required || ',"identity":' || identity || '}', ',' ORDER BY ord) || ']}' AS c FROM f GROUP BY s, v)"""
+
+
+def _align_kinds_sql() -> str:
+    """By the rule in SQL: equal list depths off, then equal 1, integer and float or text and content id 0.5, reference and content id 0.3."""
+    kinds = [(0, "string"), (0, "integer"), (0, "float"), (0, "bool"), (0, "cid"), (0, "ref:a"), (0, "ref:b"), (1, "integer"), (1, "float"), (2, "string"), (2, "cid"), (1, "ref:a")]
+    rows = ", ".join(f"({i}, {d}, '{k}')" for i, (d, k) in enumerate(kinds))
+    return f"""WITH k AS (SELECT * FROM (VALUES {rows}) AS t(i, d, k)), p AS (SELECT a.i AS i, b.i AS j, a.d = b.d AS deep, least(a.k, b.k) AS x, greatest(a.k, b.k) AS y FROM k a, k b)
+        SELECT printf('x%02d', i) AS source_field, printf('y%02d', j) AS target_field, CASE WHEN NOT deep THEN 0.0 WHEN x = y THEN 1.0 WHEN x = 'float' AND y = 'integer' OR x = 'cid' AND y = 'string' THEN 0.5
+          WHEN x = 'cid' AND starts_with(y, 'ref:') THEN 0.3 ELSE 0.0 END::DOUBLE AS type_score FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "canonical_optional_and_lists": _rich_sql(),
+        "canonical_bad_records": _bad_sql(),
+        "canonical_decode": "SELECT event_id, user_id, event_type, value FROM events",
+        "schema_bytes": f"WITH {_schema_rows()}, {SCHEMA_TEXT} SELECT s AS name, CAST(v AS BIGINT) AS version, c AS canonical, sha256(c) AS cid, CAST(n AS INTEGER) AS n_fields, true AS same FROM t",
+        "schema_identity_fields": f"WITH {_schema_rows()}, {SCHEMA_TEXT} SELECT sha256(c) AS schema_cid, ord, name, kind, required FROM f JOIN t USING (s, v) WHERE identity",
+        "mapping_normalised": f"""WITH {MAPPINGS} SELECT ord, {KEY}, CASE WHEN ord % 5 = 0 THEN 0.5::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, confidence * 4 - 3)) END AS confidence, '' AS justification,
+            CASE WHEN ord % 7 = 1 THEN 'unknown' ELSE agent END AS agent, CASE WHEN ord % 11 = 2 THEN 'forward' ELSE direction END AS direction FROM m""",
+        "mapping_bad_json": f"""WITH {MAPPINGS}, x AS (SELECT *, ord % 8 AS k FROM m) SELECT ord, CASE WHEN k IN (2, 3, 4, 7) THEN source_field END AS source_field, CASE WHEN k NOT IN (0, 1, 6) THEN agent END AS agent,
+            CASE k WHEN 0 THEN 'type_mismatch' WHEN 1 THEN 'serde' WHEN 2 THEN 'type_mismatch' WHEN 6 THEN 'serde' WHEN 7 THEN NULL ELSE 'missing_field' END AS code,
+            CASE k WHEN 0 THEN '<root>' WHEN 2 THEN 'direction' WHEN 3 THEN 'direction' WHEN 4 THEN 'confidence' WHEN 5 THEN 'source_field' END AS field,
+            CASE k WHEN 0 THEN 'expected JSON object' WHEN 1 THEN 'serialization error: not JSON' WHEN 2 THEN 'invalid direction: x' || direction WHEN 3 THEN 'missing or invalid field: direction'
+              WHEN 4 THEN 'missing or invalid field: confidence' WHEN 5 THEN 'missing or invalid field: source_field' WHEN 6 THEN 'serialization error: not JSON' END AS message FROM x""",
+        "align_kinds": _align_kinds_sql(),
         "canonical_events": f"SELECT event_id, {EVENT_TEXT} AS canonical, sha256({EVENT_TEXT}) AS cid FROM events",
         "identity_projection_events": f"SELECT event_id, {EVENT_ID} AS identity, sha256({EVENT_ID}) AS identity_hash FROM events",
         "canonical_errors": "SELECT event_id, 'type_mismatch' AS code, 'field `user_id` expected String, got number' AS message FROM events",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kinds import FLOAT, INTEGER, STRING
+from ..functions.kinds import BOOL, CID, FLOAT, INTEGER, STRING, list_of, ref
 from ..functions.schema import Schema
 from ..operators.topology import lineage_nodes
 
@@ -31,6 +31,36 @@ def event_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.when(F.col("event_id") % 2 == 0, a).otherwise(b).alias("record"))
 
 
+RICH_EVENT = (
+    Schema("event", 3).identity("user_id", INTEGER).optional("value", FLOAT).optional("active", BOOL).optional("source", CID).optional("parent", ref("event"))
+    .required("tags", list_of(STRING)).optional("parts", list_of(FLOAT))
+)
+
+
+def rich_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, record): optional fields that are there or not by event_id, and lists of texts, numbers and objects."""
+    at = lambda n, k: F.col("event_id") % n == k
+    e = F.concat(
+        F.lit('{ "tags" : ["'), F.col("event_type"), F.lit('", "t\\u001F\\/" , null,true, {"b":1.0,"a":'), F.col("event_id"), F.lit("}]"),
+        F.when(at(2, 0), F.concat(F.lit(',"value":'), F.col("value"))).otherwise(""), F.when(at(3, 0), ',"active":true').otherwise(""),
+        F.when(at(5, 1), F.concat(F.lit(',"source":"cid'), F.col("event_id"), F.lit('"'))).otherwise(""), F.when(at(5, 2), ',"parent":"root"').otherwise(""),
+        F.when(at(4, 1), F.concat(F.lit(',"parts":[2.50,1e2,'), F.col("event_id"), F.lit(",1E-7, [],[1.0]]"))).otherwise(""),
+        F.lit(',"user_id":'), F.col("user_id"), F.lit(',"other":{"x":[1]}}'),
+    )
+    return table(spark, sf_dir, "events").select("event_id", e.alias("record"))
+
+
+def bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, record): a record in one of twelve ways wrong, by event_id."""
+    id_ = F.col("event_id")
+    texts = [
+        '{"user_id":"7","tags":[]}', '{"user_id":7.0,"tags":[]}', '{"user_id":null,"tags":[]}', '{"user_id":7,"tags":{}}', '{"user_id":7,"tags":[],"active":[1]}', '{"user_id":7,"tags":[],"value":true}',
+        '{"user_id":7}', '{"user_id":7,"tags":[]} trailing', '{"user_id":7,"tags":[],"value":1e400}', "[7]", '{"user_id":18446744073709551616,"tags":[]}', '{"user_id":7,"tags":[],"parent":null}',
+    ]
+    chosen = F.element_at(F.array(*[F.lit(t) for t in texts]), (id_ % len(texts) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", chosen.alias("record"))
+
+
 def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
@@ -72,10 +102,12 @@ def trade_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
         t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    keys = ["p_type", "p_brand", "r_name", "n_name", "l_returnflag"]
-    g = rows.groupBy(*keys).agg(F.sum("l_linenumber").alias("s"))
+    # ord is made of the key: types differ in their first two letters, brands by a number, flags are one letter.
+    g = rows.groupBy("p_type", "p_brand", "r_name", "n_name", "n_nationkey", "l_returnflag").agg(F.sum("l_linenumber").alias("s"))
+    letter = lambda c, i: F.ascii(F.substring(c, i, 1))
+    ord_ = (((letter("p_type", 1) * 128 + letter("p_type", 2)) * 1000 + F.substring("p_brand", 7, 9).cast("long")) * 1000 + F.col("n_nationkey")) * 128 + letter("l_returnflag", 1)
     return g.select(
-        F.row_number().over(Window.orderBy(*keys)).cast("long").alias("ord"), F.col("p_type").alias("source_schema"), F.col("p_brand").alias("source_field"),
+        ord_.cast("long").alias("ord"), F.col("p_type").alias("source_schema"), F.col("p_brand").alias("source_field"),
         F.col("r_name").alias("target_schema"), F.col("n_name").alias("target_field"), ((F.lit(70) + F.col("s") % 30) / F.lit(100.0)).alias("confidence"),
         F.lit("").alias("justification"), F.col("l_returnflag").alias("agent"),
         F.when(F.col("s") % 20 == 0, "bidirectional").when(F.col("s") % 20 == 1, "reverse").otherwise("forward").alias("direction"),
