@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .runtime import arrow_map, cut, lists, process_filling, spans, starts_of, word_lists
+from .runtime import SALTS, arrow_map, cut, lists, process_filling, spans, starts_of, word_lists
 
 SHINGLE = 4
 K = 128
@@ -113,12 +114,42 @@ def sketches(docs: DataFrame, id_column: str = "doc_id", k: int = K, shingle: in
 
 
 def merge_sketches(parts: DataFrame, keys: list[str], k: int = K) -> DataFrame:
-    """One sketch for each key: equal to the sketch of all its texts together. An empty group has an empty sketch.
+    """One sketch for each key: equal to the sketch of all its texts together.
 
-    Hashes are counted once in each key by a distinct that combines on the map side, then the k smallest are kept.
+    A task merges the rows that it has of a key before anything is sent, so that what is sent of a key is k hashes for each
+    task; these are merged in SALTS groups a key, and the groups' sketches then. Null and empty sketches add nothing; a
+    key with no others has an empty sketch; null keys are a key; repeated rows change nothing; no rows, no result.
     """
-    rows = parts.select(*keys, F.explode("sketch").alias("h")).distinct()
-    return rows.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("h")), 1, k).alias("sketch"))
+    names = list(keys)
+
+    def least(hashes: np.ndarray) -> np.ndarray:
+        return np.unique(hashes)[:k]
+
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([x[i] for x in held], t) for i, t in enumerate(types)]
+            rows = pa.RecordBatch.from_arrays([*columns, pa.array(list(held.values()), pa.list_(pa.int64()))], [*names, "sketch"])
+            held.clear()
+            return rows
+
+        for b in batches:
+            types = [b.schema.field(i).type for i in range(len(names))]
+            for *key, s in zip(*(b.column(i).to_pylist() for i in range(len(names) + 1))):
+                x = np.array(s or [], np.int64)
+                was = held.get(tuple(key))
+                held[tuple(key)] = least(x if was is None else np.concatenate([was, x]))
+            if len(held) > 20_000:
+                yield out()
+        if held:
+            yield out()
+
+    rows = parts.select(*names, "sketch")
+    schema = StructType([*[rows.schema[n] for n in names], StructField("sketch", ArrayType(LongType()))])
+    rows = rows.mapInArrow(run, schema)
+    salted = rows.repartition(*names, F.pmod(F.xxhash64("sketch"), F.lit(SALTS))).mapInArrow(run, schema)
+    return salted.groupBy(*names).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, k).alias("sketch"))
 
 
 def fingerprints(docs: DataFrame, against: DataFrame, k: int = K, shingle: int = SHINGLE) -> DataFrame:

@@ -257,7 +257,11 @@ def encode(docs: DataFrame, path: str | None = None, seed: int = SEED, alpha: fl
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """Rows (doc_id, text) from rows (doc_id, pieces): the texts that encode() was given; null pieces give null."""
+    """Rows (doc_id, text) from rows (doc_id, pieces): the texts that encode() was given.
+
+    Null pieces give a null text, no pieces an empty one; a null doc_id stays null; repeated rows are decoded each; other
+    columns aren't read; no rows, no result.
+    """
     pieces = load_vocabulary(path or default_path()).pieces
 
     def step(b: pa.RecordBatch) -> list:

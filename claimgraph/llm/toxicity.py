@@ -23,6 +23,8 @@ CHANCE = 1e-7
 #: ... and at most this share of them is in clean documents.
 CLEAN_SHARE = 0.005
 ROUNDS, RATE, SHRINK = 60, 0.5, 2e-7
+#: Smaller weights count as 0 in the trained field: a word's odds change by a few percent at most.
+LEAST_WEIGHT = 0.05
 CLIP = 30.0
 
 
@@ -227,7 +229,7 @@ def train(texts: list[str], toxic: list[bool]) -> Crf:
         grad_s = (seen - expected) / len(y)
         gs += grad_s**2
         steps = np.clip(steps + 0.5 * RATE * grad_s / np.sqrt(gs), -5, 5)
-    return Crf({t.names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 0.05)}, float(bias), tuple(float(x) for x in steps))
+    return Crf({t.names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > LEAST_WEIGHT)}, float(bias), tuple(float(x) for x in steps))
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, clean_rows: int = TRAIN_CLEAN) -> Crf:
@@ -269,7 +271,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that toxicity() finds toxic; all columns stay, as do null, empty and wordless texts."""
+    """docs without the rows that toxicity() finds toxic; all columns stay, as do null, empty and wordless texts.
+
+    Rows with a null doc_id are judged too, repeated rows each; long texts count in full; no rows give no rows; columns
+    that are named like the operator's own stay.
+    """
     model = fit(docs, labels)
 
     @F.arrow_udf("double")

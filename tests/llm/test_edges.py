@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claimgraph.llm import fertility, fingerprint, kneser_ney, license_scan, mixing, near_dedup, preferences, secret_scan, sentencepieces, toxicity
+from claimgraph.llm import fertility, fingerprint, kneser_ney, license_scan, mixing, near_dedup, preferences, runtime, secret_scan, sentencepieces, toxicity
 
 KEY = "aK3x9QpLm2Zr8Tv5Wn1Yb7"
 # Names that the operators use themselves.
@@ -159,6 +159,44 @@ def test_fingerprints(docs, empty, spark):
     assert none.count() == len(ROWS) and none.where("resemblance > 0 OR containment > 0").count() == 0
 
 
+def test_merged_sketches_of_little(spark):
+    df = spark.createDataFrame([("a", [3, 1]), ("a", [1, 2]), ("a", None), ("b", []), (None, [5]), (None, [5])], "k string, sketch array<long>").withColumn("h", F.lit(1))
+    for salted in (df, df.repartition(5)):
+        got = {r["k"]: r["sketch"] for r in fingerprint.merge_sketches(salted, ["k"], k=2).collect()}
+        assert got == {"a": [1, 2], "b": [], None: [5]}
+    assert fingerprint.merge_sketches(df.limit(0), ["k"]).count() == 0
+
+
+def test_shards_of_the_edge_table(spark, docs, labels):
+    a, b = (sorted((tuple(r) for r in kneser_ney.quality(docs, labels, **o).collect()), key=repr) for o in ({}, {"broadcast_grams": 0}))
+    assert [x[:2] for x in a] == [x[:2] for x in b] and [x[2] for x in b] == pytest.approx([x[2] for x in a], nan_ok=True)
+
+
+def test_clashing_columns_in_the_second_table(docs, labels):
+    more = labels.withColumns({c: F.lit(0) for c in ("text", "side", "lo", "hi", "q", "t", "n")})
+    assert ids(toxicity.toxicity(docs, more)) == ids(kneser_ney.quality(docs, more)) == ALL_IDS
+    against = docs.select(F.col("doc_id").alias("item_id"), "text", F.lit(1).alias("sketch"), F.lit(2).alias("whole"), F.lit(3).alias("h"))
+    assert ids(fingerprint.fingerprints(docs, against)) == ALL_IDS
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, docs, labels, sf):
+    from urllib.parse import urlparse
+    from pathlib import Path
+
+    at = Path(urlparse(runtime.shared_dir(spark)).path) / "claimgraph"
+    at.mkdir(parents=True, exist_ok=True)
+    runtime.clear(spark)
+    assert not list(at.iterdir())
+    every = (lambda: near_dedup.drop_near_duplicates(docs), lambda: mixing.mix(docs), lambda: kneser_ney.quality(docs, labels), lambda: fertility.fertility(docs), lambda: corpus_pipeline.run(spark, sf))
+    for make in every:
+        made = make()
+        assert made.count() > 0
+        tables = sorted(p.name.split("-")[0] for p in at.iterdir())
+        assert len(tables) <= 3, tables  # what the result itself is read from
+        runtime.clear(spark)
+        assert not list(at.iterdir())
+
+
 def test_preferences(spark):
     conv = spark.createDataFrame(
         [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (1, 0, "user", "hi"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (2, None, None, None), (3, 0, "assistant", ""), (2, 1, "assistant", LONG), (None, 0, "user", "x"), (4, 0, "user", "alone"), (6, 0, "assistant", "same"), (7, 0, "assistant", "same")],
