@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .runtime import SALTS, arrow_map, cut, lists, process_filling, spans, starts_of, word_lists
+from .runtime import SALTS, arrow_map, cut, lists, process_filling, spans, starts_of, tables, word_lists
 
 SHINGLE = 4
 K = 128
@@ -202,10 +202,15 @@ def fingerprint_pairs(docs: DataFrame, items: DataFrame, item_column: str = "ite
     are exact for items of at most k shingles. Pairs have no cap. Null, empty and wordless texts have no pairs; rows
     equal in doc_id and text are answered once; a null doc_id or item stays null.
     """
-    parts = shingle_sets(items, item_column, shingle)
-    every = parts.select(F.col(item_column).alias("item_id"), F.explode("hashes").alias("h")).distinct()
-    groups = every.groupBy("item_id").agg(F.array_sort(F.collect_list("h")).alias("all")).select("item_id", F.size("all").alias("n_item"), F.slice("all", 1, k).alias("kept"))
-    wanted = cut(groups.select("item_id", "n_item", F.size("kept").alias("n_kept"), F.explode("kept").alias("h")), "items")
+    with tables(docs.sparkSession) as keep:
+        # An item may hold any share of all rows: its shingles are counted by hash first, its sketch is merged from its rows'.
+        parts = shingle_sets(items, item_column, shingle)
+        every = parts.select(F.col(item_column).alias("item_id"), F.explode("hashes").alias("h")).distinct()
+        sizes = every.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
+        kept = merge_sketches(sketches(items, item_column, k, shingle).withColumnRenamed(item_column, "item_id"), ["item_id"], k)
+        kept = kept.withColumnRenamed("item_id", "own_id")
+        wanted = sizes.join(kept, sizes["item_id"].eqNullSafe(kept["own_id"])).select("item_id", "n_item", F.size("sketch").alias("n_kept"), F.explode("sketch").alias("h"))
+        wanted = keep(cut(wanted, "items"))
     own = shingle_sets(docs, "doc_id", shingle)
     rows = own.select("doc_id", "text_key", F.size("hashes").alias("n_doc"), F.explode("hashes").alias("h"))
     met = rows.join(F.broadcast(wanted) if wanted.count() <= broadcast_hashes else wanted.hint("merge"), "h")
