@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from claimgraph.functions.canonical import Canon, cid, encode_struct, encode_table
 from claimgraph.functions.kinds import BOOL, CID, FLOAT, INTEGER, STRING, list_of, ref
 from claimgraph.functions.schema import Schema
-from test_schema import observation
+from test_schema import reading_schema
 
 
 def encode(spark, schema, texts, **options):
@@ -19,34 +19,34 @@ def encode(spark, schema, texts, **options):
 
 
 def test_records(spark):
-    full = '{"confidence":0.5,"value":"v","predicate":"p","subject":"s"}'
-    got = encode(spark, observation(), [
+    full = '{"weight":0.5,"level":"v","sensor":"p","station":"s"}'
+    got = encode(spark, reading_schema(), [
         full,
-        '{"subject":"s","predicate":"p","value":"v","confidence":0.5}',
-        '{"subject":"s","predicate":"p","value":"v","extra":[1,{"a":2}]}',
-        '{"subject":"s","predicate":"p"}',
-        '{"subject":"s","predicate":"p","value":"v","confidence":null}',
-        '{"subject":"s","predicate":"p","value":1}',
-        '{"predicate":null,"value":1}',
+        '{"station":"s","sensor":"p","level":"v","weight":0.5}',
+        '{"station":"s","sensor":"p","level":"v","extra":[1,{"a":2}]}',
+        '{"station":"s","sensor":"p"}',
+        '{"station":"s","sensor":"p","level":"v","weight":null}',
+        '{"station":"s","sensor":"p","level":1}',
+        '{"sensor":null,"level":1}',
         "[1]", "null", "3", "{bad", "",
         None,
     ])
-    whole = '{"subject":"s","predicate":"p","value":"v","confidence":0.5}'
-    key = '{"subject":"s","predicate":"p"}'
+    whole = '{"station":"s","sensor":"p","level":"v","weight":0.5}'
+    key = '{"station":"s","sensor":"p"}'
     assert got[0] == got[1] == (whole, None, None, key)
-    assert got[2] == ('{"subject":"s","predicate":"p","value":"v"}', None, None, key)  # absent, not null
-    assert got[3] == (None, "missing_field", "value", key)  # projects, though it doesn't encode
-    assert got[4] == (None, "type_mismatch", "confidence", key)  # an explicit null is a value of the wrong type
-    assert got[5] == (None, "type_mismatch", "value", key)
-    assert got[6][:3] == (None, "missing_field", "subject")  # the first failing field counts
+    assert got[2] == ('{"station":"s","sensor":"p","level":"v"}', None, None, key)  # absent, not null
+    assert got[3] == (None, "missing_field", "level", key)  # projects, though it doesn't encode
+    assert got[4] == (None, "type_mismatch", "weight", key)  # an explicit null is a value of the wrong type
+    assert got[5] == (None, "type_mismatch", "level", key)
+    assert got[6][:3] == (None, "missing_field", "station")  # the first failing field counts
     assert [g[1] for g in got[7:10]] == ["type_mismatch"] * 3 and {g[2] for g in got[7:10]} == {"<root>"}
     assert [g[1] for g in got[10:]] == ["serde"] * 3
 
 
 def test_messages(spark):
-    df = spark.createDataFrame([('{"subject":1}',)], "record string")
-    e = encode_table(df, "record", observation()).first()["error"]
-    assert (e["expected"], e["actual"], e["message"]) == ("String", "number", "field `subject` expected String, got number")
+    df = spark.createDataFrame([('{"station":1}',)], "record string")
+    e = encode_table(df, "record", reading_schema()).first()["error"]
+    assert (e["expected"], e["actual"], e["message"]) == ("String", "number", "field `station` expected String, got number")
 
 
 def test_integers_and_floats(spark):
@@ -100,8 +100,8 @@ def test_numbers_out_of_range_and_trailing_text(spark):
 
 
 def test_expressions_equal_columns(spark):
-    s = observation()
-    texts = ['{"subject":"s","predicate":"p","value":"v","confidence":0.5}', '{"subject":"s","predicate":"p"}', "[1]", "{bad", '{"subject":1}', None]
+    s = reading_schema()
+    texts = ['{"station":"s","sensor":"p","level":"v","weight":0.5}', '{"station":"s","sensor":"p"}', "[1]", "{bad", '{"station":1}', None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, record string")
     rows = encode_table(df, "record", s).withColumns({"e": Canon(s).encode(F.col("record")), "p": Canon(s).identity_projection(F.col("record"))}).collect()
     for r in rows:
@@ -110,14 +110,14 @@ def test_expressions_equal_columns(spark):
 
 def test_each_member_is_looked_up_once(spark):
     df = spark.createDataFrame([("{}",)], "record string")
-    plan = encode_table(df, "record", observation())._jdf.queryExecution().optimizedPlan().toString()
+    plan = encode_table(df, "record", reading_schema())._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("variant_get") <= 4 and plan.count("schema_of_variant") + plan.count("schemaOfVariant") <= 5
 
 
 def test_columns_of_the_caller_stay(spark):
     df = spark.createDataFrame([("{}", 1)], "record string, error int")
     with pytest.raises(ValueError, match="error"):
-        encode_table(df, "record", observation())
+        encode_table(df, "record", reading_schema())
 
 
 def test_key_order(spark):
@@ -153,27 +153,27 @@ def test_strings_as_a_json_printer_writes_them(spark):
 
 
 def test_encoding_is_idempotent_and_decodes(spark):
-    texts = ['{"value":"v","subject":"s","predicate":"p","confidence":2}']
-    once = encode(spark, observation(), texts)[0][0]
-    assert encode(spark, observation(), [once])[0][0] == once
+    texts = ['{"level":"v","station":"s","sensor":"p","weight":2}']
+    once = encode(spark, reading_schema(), texts)[0][0]
+    assert encode(spark, reading_schema(), [once])[0][0] == once
     df = spark.createDataFrame([(once,)], "c string")
-    assert df.select(F.variant_get(Canon.decode(F.col("c")), "$.confidence", "int")).first()[0] == 2
+    assert df.select(F.variant_get(Canon.decode(F.col("c")), "$.weight", "int")).first()[0] == 2
     assert df.select(cid(F.col("c")).alias("x")).first()["x"] == __import__("hashlib").sha256(once.encode()).hexdigest()
 
 
 def test_strict_raises(spark):
     df = spark.createDataFrame([("{}",)], "c string")
-    with pytest.raises(Exception, match="missing required field: subject"):
-        df.select(Canon(observation()).strict(F.col("c"))).collect()
+    with pytest.raises(Exception, match="missing required field: station"):
+        df.select(Canon(reading_schema()).strict(F.col("c"))).collect()
 
 
 def test_typed_columns(spark):
-    df = spark.createDataFrame([("s", "p", "v", 0.5), ("s", "p", "v", None), (None, "p", "v", 1.0)], "subject string, predicate string, value string, confidence double")
-    got = [r[0] for r in df.select(encode_struct(observation())).collect()]
-    assert got == ['{"subject":"s","predicate":"p","value":"v","confidence":0.5}', '{"subject":"s","predicate":"p","value":"v"}', None]
+    df = spark.createDataFrame([("s", "p", "v", 0.5), ("s", "p", "v", None), (None, "p", "v", 1.0)], "station string, sensor string, level string, weight double")
+    got = [r[0] for r in df.select(encode_struct(reading_schema())).collect()]
+    assert got == ['{"station":"s","sensor":"p","level":"v","weight":0.5}', '{"station":"s","sensor":"p","level":"v"}', None]
 
 
 def test_no_python_worker_in_the_plan(spark):
     df = spark.createDataFrame([("{}",)], "record string")
-    plan = encode_table(df, "record", observation())._jdf.queryExecution().executedPlan().toString()
+    plan = encode_table(df, "record", reading_schema())._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
