@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Numbers, arrow_map, cut, looked_up, process_cache, spans, starts_of, tables
+from .runtime import Numbers, arrow_map, cut, id_of, looked_up, process_cache, spans, starts_of, tables
 from .sentencepieces import SEGMENT
 
 #: A measure is out of its band if it is more than REACH quartile distances, plus SLACK over the root of the number of
@@ -152,7 +152,7 @@ def fertility(docs: DataFrame, tokenizers: dict[str, object] | None = None) -> D
 
     schema = "doc_id long, lang string, " + ", ".join(f"{n} {'long' if n.endswith('_tokens') else 'double'}" for n in names)
     with tables(docs.sparkSession) as keep:
-        rows = keep(cut(arrow_map(docs.select(F.col("doc_id").cast("long"), "lang", "text"), step, schema), "fertility"))
+        rows = keep(cut(arrow_map(docs.select(id_of(docs), "lang", "text"), step, schema), "fertility"))
         judged = [(k, m, lo, hi) for k in toks for m, lo, hi in MEASURES]
         any_tokens = F.greatest(*[F.col(f"{k}_tokens") for k in toks], F.lit(0)) > 0
         # Exact percentiles of values of three decimals: what a task holds is bounded by the values there are.

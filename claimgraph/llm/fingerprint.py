@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .runtime import SALTS, arrow_map, cut, lists, process_filling, spans, starts_of, tables, word_lists
+from .runtime import SALTS, arrow_map, cut, id_of, lists, process_filling, spans, starts_of, tables, word_lists
 
 SHINGLE = 4
 K = 128
@@ -110,7 +110,7 @@ def sketches(docs: DataFrame, id_column: str = "doc_id", k: int = K, shingle: in
             out.append(pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), lists(values, sizes, pa.int64())], [id_column, "sketch"]))
         return out
 
-    return arrow_map(docs.select(F.col(id_column).cast("long"), "text"), step, f"{id_column} long, sketch array<long>")
+    return arrow_map(docs.select(id_of(docs, id_column), "text"), step, f"{id_column} long, sketch array<long>")
 
 
 def merge_sketches(parts: DataFrame, keys: list[str], k: int = K) -> DataFrame:
@@ -188,7 +188,7 @@ def shingle_sets(docs: DataFrame, id_column: str, shingle: int = SHINGLE) -> Dat
             out.append(pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), keys.slice(lo, hi - lo), lists(to_signed(np.concatenate(own)), sizes, pa.int64())], [id_column, "text_key", "hashes"]))
         return out
 
-    return arrow_map(docs.select(F.col(id_column).cast("long"), F.xxhash64("text"), "text"), step, f"{id_column} long, text_key long, hashes array<long>")
+    return arrow_map(docs.select(id_of(docs, id_column), F.xxhash64("text"), "text"), step, f"{id_column} long, text_key long, hashes array<long>")
 
 
 def fingerprint_pairs(docs: DataFrame, items: DataFrame, item_column: str = "item_id", k: int = K, shingle: int = SHINGLE, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_ROWS, arrow_map, cut, drop_cut, looked_up, spans, starts_of, tables
+from .runtime import BROADCAST_ROWS, arrow_map, cut, drop_cut, id_of, looked_up, spans, starts_of, tables
 
 ORDER = 6
 BITS = 8
@@ -162,7 +162,7 @@ SCORED = "doc_id long, lang string, n long, surprise double"
 
 def scored(docs: DataFrame, logs: DataFrame, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """(doc_id, lang, n, surprise) of each row of docs; logs (g, lp) must have every n-gram of the texts."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    rows = docs.select(id_of(docs), F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     columns = ["doc_id", "lang", "n", "surprise"]
     size = logs.count()
     if size <= broadcast_grams:
@@ -205,7 +205,7 @@ def scored(docs: DataFrame, logs: DataFrame, broadcast_grams: int = BROADCAST_GR
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """(doc_id) that labels call good (quality 1) and never bad or toxic."""
-    one = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    one = labels.where("doc_id IS NOT NULL").groupBy(id_of(labels))
     return one.agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 AND t = 0").select("doc_id")
 
 
@@ -221,7 +221,7 @@ def quality(docs: DataFrame, labels: DataFrame, broadcast_grams: int = BROADCAST
     """
     with tables(docs.sparkSession) as keep:
         good = cut(trusted_ids(labels), "trusted")
-        trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(good) if good.count() <= BROADCAST_ROWS else good, "doc_id", "left_semi")
+        trusted = docs.select(id_of(docs), "text").join(F.broadcast(good) if good.count() <= BROADCAST_ROWS else good, "doc_id", "left_semi")
         model = Model(gram_counts(trusted))
         logs = cut(model.logs(gram_counts(docs).select("g")), "logs")
         rows = cut(scored(docs, logs, broadcast_grams), "surprise")

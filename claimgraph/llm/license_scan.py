@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import WORD, arrow_map
+from .runtime import WORD, arrow_map, id_of
 
 #: name: (licence, words in lower case). Short grants as they are written in headers and on pages, notices, and full texts
 #: of the short licences, without titles and copyright lines.
@@ -185,7 +185,7 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, str]] | None =
         i, k, n, u, w, d = zip(*out)
         return [pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k), pa.array(n), pa.array(u, pa.int32()), pa.array(w, pa.int32()), pa.array(d)], ["doc_id", "license", "template", "first_word", "n_words", "dice"])]
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), step, "doc_id long, license string, template string, first_word int, n_words int, dice double")
+    return arrow_map(docs.select(id_of(docs), "text"), step, "doc_id long, license string, template string, first_word int, n_words int, dice double")
 
 
 def license_sql(threshold: float = THRESHOLD) -> str:

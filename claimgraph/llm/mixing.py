@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import cut, fresh, looked_up, tables
+from .runtime import cut, fresh, id_of, looked_up, tables
 
 #: Target weight of a source: its number of documents to this power.
 TEMPERATURE = 0.9
@@ -89,7 +89,7 @@ def mix_counts(
     columns, text included, aren't read.
     """
     with tables(docs.sparkSession) as keep:
-        units = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source").distinct(), "units")
+        units = cut(docs.select(id_of(docs), "source").distinct(), "units")
         counts = units.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
         share = cut(target_copies(counts, weights, temperature, least), "targets")
         # A leaf holds about LEAF documents of one source; as many levels above as the largest source takes to end in one node.

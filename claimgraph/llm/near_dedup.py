@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import Numbers, arrow_map, cut, drop_cut, fresh, process_filling, spans, starts_of, tables, word_lists
+from .runtime import Numbers, arrow_map, cut, drop_cut, fresh, id_of, process_filling, spans, starts_of, tables, word_lists
 
 THRESHOLD = 0.5
 #: Share of the pairs at the threshold itself that the trees are to bring together; pairs above it meet more often.
@@ -143,7 +143,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             out.append(pa.RecordBatch.from_arrays([*own, pa.array(high), pa.array(low), sketch, short], [*UNIT, "set_a", "set_b", "sketch", "short"]))
         return out
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = docs.select(id_of(docs), F.xxhash64("text").alias("text_key"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     return arrow_map(rows, step, "doc_id long, text_key long, set_a long, set_b long, sketch binary, short binary")
 
 
@@ -357,7 +357,7 @@ def shingles_of(docs: DataFrame, units: DataFrame) -> DataFrame:
         return out
 
     wanted = cut(units.select(*UNIT).distinct(), "wanted")
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").where("text IS NOT NULL")
+    rows = docs.select(id_of(docs), F.xxhash64("text").alias("text_key"), "text").where("text IS NOT NULL")
     rows = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, list(UNIT), "left_semi")
     sets = arrow_map(rows, step, "doc_id long, text_key long, grams binary")
     return sets.groupBy(*UNIT).agg(F.first("grams").alias("grams"))
@@ -544,7 +544,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall:
         few = gone.count() <= BROADCAST_ROWS
         i, k = fresh(docs, "near_id"), fresh(docs, "near_key")
         gone = gone.withColumnsRenamed({"doc_id": i, "text_key": k})
-        keyed = docs.withColumns({i: F.col("doc_id").cast("long"), k: F.xxhash64("text")})
+        keyed = docs.withColumns({i: id_of(docs), k: F.xxhash64("text")})
         kept = keyed.join(F.broadcast(gone) if few else gone, [i, k], "left_anti")
         # Repeated rows: counted by key with map-side sums; of such keys the least row is kept, by map-side minima too.
         twice = cut(kept.where(F.col(i).isNotNull()).groupBy(i, k).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(i, k), "repeated")

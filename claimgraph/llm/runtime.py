@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from ..sources.shared import clear, cut, delete, drop_cut, hold, shared_dir, tables  # noqa: F401
 
@@ -23,6 +24,14 @@ BROADCAST_ROWS = 2_000_000
 SALTS = 64
 
 
+def id_of(df: DataFrame, column: str = "doc_id") -> Column:
+    """The column as a 64-bit whole number. Any other kind of id is refused here, before a worker meets it."""
+    kind = df.select(column).schema[0].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"{column} must be a whole number, not {kind.simpleString()}")
+    return F.col(column).cast("long").alias(column)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_map, fresh
+from .runtime import arrow_map, fresh, id_of
 
 MIN_LENGTH = 16
 WINDOW = 16
@@ -117,7 +117,7 @@ def secret_scan(docs: DataFrame, window: int = WINDOW, allow: tuple[str, ...] =
         return [pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(k), pa.array(h, pa.float64())], ["doc_id", "start_at", "end_at", "class", "entropy"])]
 
     return arrow_map(
-        docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").rlike(CANDIDATE)), step,
+        docs.select(id_of(docs), "text").where(F.col("text").rlike(CANDIDATE)), step,
         "doc_id long, start_at int, end_at int, class string, entropy double",
     )
 

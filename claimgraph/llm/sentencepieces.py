@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Numbers, arrow_map, lists, spans, starts_of
+from .runtime import Numbers, arrow_map, id_of, lists, spans, starts_of
 
 SEED = 17
 #: Characters whose lattices are in memory at once, however long a text is.
@@ -252,7 +252,7 @@ def encode(docs: DataFrame, path: str | None = None, seed: int = SEED, alpha: fl
             out.append(pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pieces, n, pa.array(ok, pa.bool_())], ["doc_id", "pieces", "n_pieces", "lossless"]))
         return out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("key"), "text")
+    rows = docs.select(id_of(docs), F.xxhash64(F.col("doc_id").cast("long")).alias("key"), "text")
     return arrow_map(rows, step, "doc_id long, pieces array<int>, n_pieces int, lossless boolean")
 
 

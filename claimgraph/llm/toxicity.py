@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import WORD, Numbers, arrow_map, fresh, process_filling, spans, starts_of
+from .runtime import WORD, Numbers, arrow_map, fresh, id_of, process_filling, spans, starts_of
 
 #: The bound of the training sample: at most so many labelled documents with toxic = 1, and with toxic = 0.
 TRAIN_TOXIC, TRAIN_CLEAN = 800, 1600
@@ -196,6 +196,20 @@ def token_labels(t: Tokens) -> np.ndarray:
     return (marked[t.ids] & t.in_toxic).astype(float)
 
 
+def gradient(t: Tokens, y: np.ndarray, chains: Chains, first: np.ndarray, pair: np.ndarray, seen: np.ndarray, w: np.ndarray, bias: float, steps: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Of the mean log likelihood of the labels, by feature weights, bias and steps: what is seen less what is expected."""
+    r = np.exp(np.clip(bias + np.add.reduceat(w[t.flat], starts_of(t.sizes)[:-1]), -CLIP, CLIP))[t.ids]
+    f, b = chains.odds(r, steps)
+    p = f * b / (1 + f * b)
+    a01, a10, a11 = np.exp(steps[:3])
+    q, g = r[pair] * b[pair], f[pair - 1]
+    z = 1 + a01 * q + g * a10 + g * a11 * q
+    expected = np.array([(a01 * q / z).sum(), (g * a10 / z).sum(), (g * a11 * q / z).sum(), p[first].sum()])
+    by_word = np.bincount(t.ids, weights=y - p, minlength=len(t.words)) / len(y)
+    grad = np.bincount(t.flat, weights=np.repeat(by_word, t.sizes), minlength=len(t.names))
+    return grad, float(by_word.sum()), (seen - expected) / len(y)
+
+
 def train(texts: list[str], toxic: list[bool]) -> Crf:
     """Fit the field by gradient ascent on the conditional likelihood, all chains at once; the order of rows is no matter."""
     order = sorted(range(len(texts)), key=lambda i: (texts[i], toxic[i]))
@@ -203,7 +217,6 @@ def train(texts: list[str], toxic: list[bool]) -> Crf:
     y = token_labels(t)
     if not y.any():
         return Crf()
-    at = starts_of(t.sizes)[:-1]
     chains = Chains(t.lengths)
     first = np.zeros(len(t.ids), bool)
     first[starts_of(t.lengths)[:-1]] = True
@@ -212,21 +225,12 @@ def train(texts: list[str], toxic: list[bool]) -> Crf:
     gw, gb, gs = np.full(len(t.names), 1e-8), 1e-8, np.full(4, 1e-8)
     seen = np.array([(y[pair] * (1 - y[pair - 1])).sum(), ((1 - y[pair]) * y[pair - 1]).sum(), (y[pair] * y[pair - 1]).sum(), y[first].sum()])
     for _ in range(ROUNDS):
-        r = np.exp(np.clip(bias + np.add.reduceat(w[t.flat], at), -CLIP, CLIP))[t.ids]
-        f, b = chains.odds(r, steps)
-        p = f * b / (1 + f * b)
-        a01, a10, a11 = np.exp(steps[:3])
-        q, g = r[pair] * b[pair], f[pair - 1]
-        z = 1 + a01 * q + g * a10 + g * a11 * q
-        expected = np.array([(a01 * q / z).sum(), (g * a10 / z).sum(), (g * a11 * q / z).sum(), p[first].sum()])
-        by_word = np.bincount(t.ids, weights=y - p, minlength=len(t.words)) / len(y)
-        grad = np.bincount(t.flat, weights=np.repeat(by_word, t.sizes), minlength=len(t.names)) - SHRINK * w
+        grad, grad_b, grad_s = gradient(t, y, chains, first, pair, seen, w, bias, steps)
+        grad = grad - SHRINK * w
         gw += grad**2
         w += RATE * grad / np.sqrt(gw)
-        grad_b = by_word.sum()
         gb += grad_b**2
         bias += RATE * grad_b / math.sqrt(gb)
-        grad_s = (seen - expected) / len(y)
         gs += grad_s**2
         steps = np.clip(steps + 0.5 * RATE * grad_s / np.sqrt(gs), -5, 5)
     return Crf({t.names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > LEAST_WEIGHT)}, float(bias), tuple(float(x) for x in steps))
@@ -237,13 +241,13 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TRAIN_TOXIC, clean
 
     Labels that are null, contradict each other or have no document are passed over.
     """
-    one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi")
+    one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(id_of(labels)).agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi")
     picked = [
         one.where(F.col("hi") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", (F.col("hi") == 1).alias("side"))
         for side, n in ((1, toxic_rows), (0, clean_rows))
     ]
     sample = picked[0].unionByName(picked[1])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").where("text IS NOT NULL").select("text", "side").distinct().collect()
+    rows = docs.select(id_of(docs), "text").join(F.broadcast(sample), "doc_id").where("text IS NOT NULL").select("text", "side").distinct().collect()
     return train([r[0] for r in rows], [r[1] for r in rows])
 
 
@@ -265,7 +269,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
         return [pa.RecordBatch.from_arrays([b.column(0), pa.array(scores), pa.array(scores >= threshold), pa.array(offsets, kind)], ["doc_id", "toxic_score", "is_toxic", "spans"])]
 
     return arrow_map(
-        docs.select(F.col("doc_id").cast("long"), "text"), step,
+        docs.select(id_of(docs), "text"), step,
         "doc_id long, toxic_score double, is_toxic boolean, spans array<struct<start_at: int, end_at: int, score: double>>",
     )
 

@@ -179,6 +179,14 @@ def test_clashing_columns_in_the_second_table(docs, labels):
     assert ids(fingerprint.fingerprints(docs, against)) == ALL_IDS
 
 
+def test_ids_of_other_types_are_refused_at_once(docs):
+    texts = docs.withColumn("doc_id", F.concat(F.lit("x"), F.col("doc_id")))
+    for operator in (license_scan.license_scan, sentencepieces.encode, near_dedup.near_duplicates, mixing.mix_counts, secret_scan.secret_scan, fertility.fertility, fingerprint.sketches):
+        with pytest.raises(TypeError, match="whole number"):
+            operator(texts)
+    assert license_scan.license_scan(docs.withColumn("doc_id", F.lit(None))).count() == 0
+
+
 def test_nothing_is_left_in_the_shared_folder(spark, docs, labels, sf):
     from urllib.parse import urlparse
     from pathlib import Path

@@ -198,6 +198,33 @@ def test_marginals_by_enumeration():
     assert toxicity.marginals([text], model)[0] == pytest.approx(expected, abs=1e-9)
 
 
+def test_gradient_by_differences():
+    r = random.Random(5)
+    t = toxicity.tokens_of(["bad so\nbads", "so good bad good", "good"], [True, True, False])
+    y = np.array([r.randint(0, 1) for _ in t.ids], float)
+    chains, first = toxicity.Chains(t.lengths), np.zeros(len(t.ids), bool)
+    starts = np.concatenate([[0], np.cumsum(t.lengths)])
+    first[starts[:-1]] = True
+    pair = np.flatnonzero(~first)
+    seen = np.array([(y[pair] * (1 - y[pair - 1])).sum(), ((1 - y[pair]) * y[pair - 1]).sum(), (y[pair] * y[pair - 1]).sum(), y[first].sum()])
+    own = [t.flat[s:e] for s, e in zip(np.cumsum(t.sizes) - t.sizes, np.cumsum(t.sizes))]
+
+    def likelihood(x):
+        w, bias, steps = x[:-5], x[-5], x[-4:]
+        total = 0.0
+        for s, e in zip(starts, starts[1:]):
+            score = lambda z: sum((bias + w[own[i]].sum()) * k for i, k in zip(t.ids[s:e], z)) + steps[3] * z[0] + sum({(0, 1): steps[0], (1, 0): steps[1], (1, 1): steps[2]}.get(p, 0.0) for p in zip(z, z[1:]))  # noqa: B023, E731
+            total += score(tuple(int(k) for k in y[s:e])) - math.log(sum(math.exp(score(z)) for z in itertools.product((0, 1), repeat=int(e - s))))
+        return total / len(y)
+
+    x = np.array([r.uniform(-0.5, 0.5) for _ in range(len(t.names) + 5)])
+    gw, gb, gs = toxicity.gradient(t, y, chains, first, pair, seen, x[:-5], x[-5], x[-4:])
+    for i, g in enumerate([*gw, gb, *gs]):
+        step = np.zeros(len(x))
+        step[i] = 1e-5
+        assert (likelihood(x + step) - likelihood(x - step)) / 2e-5 == pytest.approx(g, abs=1e-7)
+
+
 def test_spans_are_offsets_of_the_text_given():
     text = "İstanbul  BAD-bad\nfine bad"
     model = toxicity.Crf({"=bad": 20.0}, -10.0, (0.0, 0.0, 0.0, 0.0))
