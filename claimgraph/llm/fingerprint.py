@@ -161,11 +161,10 @@ def fingerprints(docs: DataFrame, against: DataFrame, k: int = K, shingle: int =
     aren't read; an empty `against` has an empty sketch.
     """
     parts = sketches(against.select(F.lit(0).cast("long").alias("doc_id"), "text"), k=k, shingle=shingle)
-    hashes = parts.select(F.explode("sketch").alias("h")).distinct().orderBy("h").limit(k)
-    whole = hashes.agg(F.array_sort(F.collect_list("h")).alias("whole"))
+    whole = [r["h"] for r in parts.select(F.explode("sketch").alias("h")).distinct().orderBy("h").limit(k).collect()]
     own = sketches(docs, k=k, shingle=shingle)
-    s, w = F.col("sketch"), F.col("whole")
-    return own.join(F.broadcast(whole), how="cross").select(
+    s, w = F.col("sketch"), F.array(*map(F.lit, whole)).cast("array<long>")
+    return own.select(
         "doc_id", "sketch", estimate_column(s, k).alias("distinct_shingles"),
         resemblance_column(s, w, k).alias("resemblance"), containment_column(s, w, k).alias("containment"),
     )

@@ -69,10 +69,10 @@ def target_copies(counts: DataFrame, weights: dict[str, float] | None, temperatu
     else:
         w = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))) for k, v in sorted(weights.items(), key=repr)], F.lit(0.0))
     raw = counts.withColumn("x", w / F.col("n"))
-    low = raw.where("x > 0").agg(F.min("x").alias("low"))
-    copies = F.col("x") / F.col("low") * F.lit(least)
+    low = raw.where("x > 0").agg(F.min("x")).first()[0] or 1.0
+    copies = F.col("x") / F.lit(low) * F.lit(least)
     whole = F.floor(copies)
-    out = raw.crossJoin(F.broadcast(low)).withColumn("whole", F.coalesce(whole, F.lit(0)).cast("long"))  # low is one row
+    out = raw.withColumn("whole", F.coalesce(whole, F.lit(0)).cast("long"))
     part = F.coalesce(F.round((copies - whole) * F.lit(float(UNIT))), F.lit(0.0)).cast("long")
     return out.select("source", "whole", part.alias("fraction"), "n")
 
