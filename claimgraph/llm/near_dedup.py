@@ -377,14 +377,16 @@ def exact_stars(sets: DataFrame, links: DataFrame, threshold: float) -> DataFram
     rows = centres.unionByName(ends).repartition("other_id", "other_key", "chunk").sortWithinPartitions("other_id", "other_key", "chunk", "role")
 
     def run(batches):
-        centre = None
+        whose, centre = None, None
         for b in batches:
             out = []
             for a, k, role, i, j, grams in zip(*(b.column(c).to_pylist() for c in (0, 1, 3, 4, 5, 6))):
                 g = np.frombuffer(grams, np.uint32)
                 if role == 0:
-                    centre = g
+                    whose, centre = (a, k), g
                     continue
+                if whose != (a, k):
+                    raise ValueError("a link's end has no set")
                 n, m = len(g), len(centre)
                 if min(n, m) >= threshold * max(n, m):
                     shared = len(np.intersect1d(g, centre, assume_unique=True))
@@ -489,7 +491,7 @@ def grouped(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
         likely = found.where("path IS NULL").groupBy(*UNIT).agg(F.min(unit("other_id", "other_key")).alias("o")).select(*UNIT, F.col("o.doc_id").alias("other_id"), F.col("o.text_key").alias("other_key"))
         likely = cut(likely, "likely")
         ends = likely.select(*UNIT).unionByName(likely.select(F.col("other_id").alias("doc_id"), F.col("other_key").alias("text_key")))
-        sure = exact_stars(shingles_of(docs, ends), likely, threshold)
+        sure = exact_stars(cut(shingles_of(docs, ends), "shingles"), likely, threshold)  # read for both ends of a link
         parts = components(sure.select(unit(*UNIT).alias("a"), unit("other_id", "other_key").alias("b")).unionByName(same))
         doubtful = cut(between_parts(found.where("path IS NOT NULL").select("path", *UNIT), parts), "doubtful")
         if not doubtful.isEmpty():
