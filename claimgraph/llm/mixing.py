@@ -136,5 +136,5 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     n, i, id_, source = fresh(docs, "copies"), fresh(docs, "copy"), fresh(docs, "mix_id"), fresh(docs, "mix_source")
     counts = mix_counts(docs, **options).withColumnsRenamed({"doc_id": id_, "source": source, "copies": n})
     on = docs["doc_id"].cast("long").eqNullSafe(counts[id_]) & docs["source"].eqNullSafe(counts[source])
-    rows = docs.join(counts, on).drop(id_, source)
+    rows = docs.join(counts.hint("merge"), on).drop(id_, source)  # a row for each document: it has no bound, so it is never broadcast
     return rows.where(F.col(n) > 0).withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).drop(n, i)
