@@ -19,9 +19,13 @@ from pyspark.sql import functions as F
 from .kinds import Kind
 from .schema import Field, Schema
 
-ERROR = "struct<code: string, field: string, expected: string, actual: string, message: string>"
 LOWEST, HIGHEST = -(2**63), 2**64 - 1
+HIGHEST_INT = 2**31 - 1
 NUMBER = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+#: Failures of a record as a whole.
+UNREADABLE, NO_OBJECT, OUT_OF_RANGE = -3, -2, -1
+#: These stand in JSON text while it is worked on, where none has them.
+MARK, END = "\x02", "\x03"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -29,19 +33,20 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
-def lower_escapes(text: Column) -> Column:
-    """JSON text with control characters as \\u and lower-case hex. A backslash that is itself escaped starts no escape."""
-    low = text
-    for code in (*range(0x0A, 0x10), *range(0x1A, 0x20)):
-        if code not in (0x0A, 0x0C, 0x0D):
-            low = F.regexp_replace(low, F.lit(rf"(?<!\\)((?:\\\\)*)\\u{code:04X}"), F.lit(rf"$1\\u{code:04x}"))
-    return F.when(text.contains("\\u00"), low).otherwise(text)
+def lower_escapes(text: Column, guard: Column | None = None) -> Column:
+    """JSON text with control characters as \\u and lower-case hex. A backslash that is itself escaped starts no escape.
+
+    `guard` is a column that has such escapes if text has them: text is then computed once.
+    """
+    parts = F.split(F.replace(text, F.lit("\\\\"), F.lit(MARK)), r"\\u00")
+    low = F.transform(parts, lambda s, i: F.when(i == 0, s).otherwise(F.concat(F.translate(F.substring(s, 1, 2), "ABCDEF", "abcdef"), F.substring(s, 3, HIGHEST_INT))))
+    return F.when((text if guard is None else guard).contains("\\u00"), F.replace(F.array_join(low, "\\u00"), F.lit(MARK), F.lit("\\\\"))).otherwise(text)
 
 
 def quoted(c: Column) -> Column:
     """A JSON string literal: short escapes, other controls as \\u and lower-case hex, all else as it is."""
     text = F.to_json(F.struct(c.alias("v")))
-    text = lower_escapes(F.substring(text, F.lit(6), F.length(text) - 6))
+    text = lower_escapes(F.substring(text, F.lit(6), F.length(text) - 6), F.lit("\\u00"))
     return F.when(c.rlike("[\\x00-\\x1f]"), text).otherwise(F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
 
 
@@ -54,10 +59,8 @@ def member(v: Column, name: str) -> Column:
 
 def type_name(kind: Column) -> Column:
     """JSON type name from schema_of_variant."""
-    return (
-        F.when(kind == "VOID", "null").when(kind == "BOOLEAN", "bool").when(kind == "STRING", "string")
-        .when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").otherwise("number")
-    )
+    names = F.create_map(*[F.lit(n) for n in ("VOID", "null", "BOOLEAN", "bool", "STRING", "string", "ARRAY", "array", "OBJECT", "object")])
+    return F.coalesce(F.try_element_at(names, F.substring_index(kind, "<", 1)), F.lit("number"))
 
 
 def accepts(kind: Kind, spark_kind: Column, text: Column) -> Column:
@@ -77,7 +80,7 @@ def accepts(kind: Kind, spark_kind: Column, text: Column) -> Column:
 
 def plain_number(text: Column) -> Column:
     """Exponent form as other printers have it: 1.0E16 to 1e16, 1.0E-5 to 0.00001 and 1.0E7 to 10000000.0."""
-    digits = F.regexp_extract(text, r"E(-?\d+)$", 1).cast("int")
+    digits = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
     wide = text.try_cast("double").cast("decimal(38,18)")
     trimmed = F.regexp_replace(wide.cast("string"), r"0+$", "")
     plain = F.when(trimmed.endswith("."), F.concat(trimmed, F.lit("0"))).otherwise(trimmed)
@@ -85,27 +88,29 @@ def plain_number(text: Column) -> Column:
     return F.when(~text.contains("E"), text).when(digits.between(-5, 15), plain).otherwise(short)
 
 
-def list_text(text: Column, sort_keys: bool) -> Column:
-    """Compact list text of a string map with numbers and escapes as other printers have them; objects' keys sorted if asked.
+def marked(text: Column) -> Column:
+    """JSON text with marks around the numbers outside strings. No quantifier can go back, so long strings need no stack."""
+    string, number = r'"(?:[^"\\]++|\\.)*+"', r"-?[0-9][0-9.E+-]*+"
+    return F.replace(F.regexp_replace(text, F.lit(f"({string})|({number})"), F.lit(f"$1{MARK}$2{END}")), F.lit(MARK + END), F.lit(""))
+
 
-    Numbers outside strings are set between marks, which no JSON text has, and printed one by one. To sort keys, the text
-    goes through a VARIANT, which keeps them sorted but not numbers as they are: these go through it as strings.
+def sorted_keys(text: Column) -> Column:
+    """Marked text with the keys of objects sorted: it goes through a VARIANT, which keeps them so, and numbers as strings.
+
+    \\u0001n stands before a number and \\u0001e behind it, \\u0001u for \\u0001 itself.
     """
-    mark, string, number = "\x02", r'"(?:\\.|[^"\\])*"', r"-?[0-9][0-9.E+-]*"
-    marked = F.regexp_replace(F.regexp_replace(text, F.lit(f"({string})|({number})"), F.lit(f"$1{mark}$2{mark}")), F.lit(mark * 2), F.lit(""))
-    numbers = F.transform(F.regexp_extract_all(marked, F.lit(f"{mark}([^{mark}]*){mark}"), F.lit(1)), plain_number)
-    others = F.split(marked, f"{mark}[^{mark}]*{mark}")
-    printed = F.array_join(F.zip_with(others, numbers, lambda o, n: F.concat(o, F.coalesce(n, F.lit("")))), "")
-    out = F.when(text.rlike("[0-9]E"), printed).otherwise(text)
-    if sort_keys:
-        # \\u0001n stands before a number, \\u0001u for \\u0001 itself.
-        as_strings = F.regexp_replace(F.replace(marked, F.lit("\\u0001"), F.lit("\\u0001u")), F.lit(f"{mark}([^{mark}]*){mark}"), F.lit(r'"\\u0001n$1"'))
-        ordered = F.to_json(F.try_parse_json(as_strings))
-        ordered = F.replace(F.regexp_replace(ordered, F.lit(r'"\\u0001n([^"]*)"'), F.lit(f"{mark}$1{mark}")), F.lit("\\u0001u"), F.lit("\\u0001"))
-        numbers = F.transform(F.regexp_extract_all(ordered, F.lit(f"{mark}([^{mark}]*){mark}"), F.lit(1)), plain_number)
-        others = F.split(ordered, f"{mark}[^{mark}]*{mark}")
-        out = F.when(text.contains("{"), F.array_join(F.zip_with(others, numbers, lambda o, n: F.concat(o, F.coalesce(n, F.lit("")))), "")).otherwise(out)
-    return lower_escapes(out)
+    there = [("\\u0001", "\\u0001u"), (MARK, '"\\u0001n'), (END, '\\u0001e"')]
+    for old, new in there:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = F.to_json(F.try_parse_json(text))
+    for new, old in reversed(there):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def plain_numbers(text: Column) -> Column:
+    """Marked text without the marks, and numbers as other printers have them."""
+    return F.array_join(F.transform(F.split(text, f"[{MARK}{END}]"), lambda s, i: F.when(i % 2 == 1, plain_number(s)).otherwise(s)), "")
 
 
 def parse(c: Column) -> tuple[Column, Column]:
@@ -129,13 +134,12 @@ class Canon:
     key_order: "schema" (field order) or "lexicographic" (UTF-8 byte order of names).
     strict_lists: also check the elements of lists, an extension.
 
-    The work is in steps, each a set of columns made of the last one's: of a table they are columns of their own, so
+    The work is in steps, each a set of columns made of earlier ones: of a table they are columns of their own, so
     that each is computed once; of a single expression they are bound by a lambda.
     """
 
     def __init__(self, schema: Schema, key_order: str = "schema", strict_lists: bool = False):
-        if key_order not in ("schema", "lexicographic"):
-            raise ValueError("key_order is schema or lexicographic")
+        check_order(key_order)
         self.schema, self.key_order, self.strict_lists = schema, key_order, strict_lists
 
     def _parsed(self, c: Column) -> dict[str, Column]:
@@ -156,40 +160,86 @@ class Canon:
                 out[f"items{i}"] = F.coalesce(self._elements_ok(got, f.kind.inner), F.lit(False))
         return out
 
-    def _judged(self, x: Callable[[str], Column], fields: list[Field]) -> dict[str, Column]:
-        """The error and the printed member of each field, as far as it is there, and whether a number is out of range."""
-        out = {"root": x("root")}
+    def _marked(self, x: Callable[[str], Column], fields: list[Field], orders: set[str]) -> dict[str, Column]:
+        """The lists' texts with marks, as far as they have numbers to be printed anew or keys to be sorted."""
+        out = {}
+        for i, f in enumerate(fields):
+            if f.kind.name == "list":
+                text = x(f"text{i}")
+                exponents = text.rlike("[0-9]E")
+                out[f"exponents{i}"] = exponents
+                out[f"marked{i}"] = F.when(exponents | text.contains("{") if "lexicographic" in orders else exponents, marked(text))
+        return out
+
+    def _ordered(self, x: Callable[[str], Column], fields: list[Field], orders: set[str]) -> dict[str, Column]:
+        lists = [i for i, f in enumerate(fields) if f.kind.name == "list" and "lexicographic" in orders]
+        return {f"ordered{i}": F.when(x(f"text{i}").contains("{"), sorted_keys(x(f"marked{i}"))) for i in lists}
+
+    def _judged(self, x: Callable[[str], Column], fields: list[Field], orders: set[str]) -> dict[str, Column]:
+        """Whether each field is there and wrong, its printed member in each order, and whether a number is out of range."""
+        out = {}
         for i, f in enumerate(fields):
             kind, text = x(f"kind{i}"), x(f"text{i}")
             ok = accepts(f.kind, kind, text)
             if self.strict_lists and f.kind.name == "list":
                 ok = ok & x(f"items{i}")
-            actual = type_name(kind)
-            wrong = error("type_mismatch", f.name, f.kind.label(), actual, F.concat(F.lit(f"field `{f.name}` expected {f.kind.label()}, got "), actual))
-            out[f"wrong{i}"] = F.when((kind == "VOID") | ~ok, wrong)
-            out[f"absent{i}"] = kind.isNull()
+            out[f"wrong{i}"] = F.coalesce(kind.isNotNull() & ((kind == "VOID") | ~ok), F.lit(False))
             # Of numbers alone the map has text in quotation marks: an infinity.
             over = kind.rlike(NUMBER) & text.startswith('"')
             if f.kind.name == "list":
                 over = over | (kind.startswith("ARRAY") & ~kind.startswith("ARRAY<STRING") & text.rlike('[\\[,:]"-?Infinity"'))
             out[f"over{i}"] = F.coalesce(over, F.lit(False))
-            body = quoted(text) if f.kind.name in ("string", "cid", "ref") else plain_number(text) if f.kind.name == "float" else list_text(text, self.key_order == "lexicographic") if f.kind.name == "list" else text
-            out[f"part{i}"] = F.when(kind.isNotNull(), F.concat(quoted(F.lit(f.name)), F.lit(":"), body))
+            body = quoted(text) if f.kind.name in ("string", "cid", "ref") else plain_number(text) if f.kind.name == "float" else text
+            bodies = {"part": body}
+            if f.kind.name == "list":
+                plain = F.when(x(f"exponents{i}"), plain_numbers(x(f"marked{i}"))).otherwise(text)
+                bodies = {"part": lower_escapes(plain, text)} if "schema" in orders else {}
+                if "lexicographic" in orders:
+                    ordered = x(f"ordered{i}")
+                    unmarked = F.replace(F.replace(ordered, F.lit(MARK), F.lit("")), F.lit(END), F.lit(""))
+                    by_name = F.when(~text.contains("{"), plain).when(x(f"exponents{i}"), plain_numbers(ordered)).otherwise(unmarked)
+                    bodies["by_name"] = lower_escapes(by_name, text)
+            for key, body in bodies.items():
+                out[f"{key}{i}"] = F.when(kind.isNotNull(), F.concat(quoted(F.lit(f.name)), F.lit(":"), body))
         return out
 
-    def _joined(self, x: Callable[[str], Column], fields: list[tuple[int, Field]]) -> Column:
-        """struct(canonical, error) of these fields by number."""
-        errors, over, root = [], F.lit(False), x("root")
-        for i, f in fields:
-            absent = error("missing_field", f.name, None, None, F.lit(f"missing required field: {f.name}")) if f.required else F.lit(None).cast(ERROR)
-            errors.append(F.when(x(f"absent{i}"), absent).otherwise(x(f"wrong{i}")))
-            over = over | x(f"over{i}")
-        order = fields if self.key_order == "schema" else sorted(fields, key=lambda n: n[1].name.encode())
-        whole = F.concat(F.lit("{"), F.concat_ws(",", *[x(f"part{i}") for i, _ in order]), F.lit("}"))
-        no_object = error("type_mismatch", "<root>", "object", type_name(root), F.concat(F.lit("field `<root>` expected object, got "), type_name(root)))
-        unread = lambda why: error("serde", None, None, None, F.lit(f"serialization error: {why}"))
-        err = F.when(root.isNull(), unread("not JSON")).when(~root.startswith("OBJECT"), no_object).when(over, unread("number out of range")).otherwise(F.coalesce(*errors, F.lit(None).cast(ERROR)))
-        return F.struct(F.when(err.isNull(), whole).alias("canonical"), err.alias("error"))
+    def _failed(self, x: Callable[[str], Column], views: dict[str, list[tuple[int, Field]]]) -> dict[str, Column]:
+        """The first failure in each view, fields by number: of the root, or 2n for its field n absent, 2n + 1 for it wrong."""
+        root, out = x("root"), {}
+        for view, fields in views.items():
+            over = F.lit(False)
+            for i, _ in fields:
+                over = over | x(f"over{i}")
+            first = F.when(root.isNull(), UNREADABLE).when(~root.startswith("OBJECT"), NO_OBJECT).when(over, OUT_OF_RANGE)
+            for n, (i, f) in enumerate(fields):
+                if f.required:
+                    first = first.when(x(f"kind{i}").isNull(), 2 * n)
+                first = first.when(x(f"wrong{i}"), 2 * n + 1)
+            out[f"first_{view}"] = first
+        return out
+
+    def _error(self, x: Callable[[str], Column], view: str, fields: list[tuple[int, Field]]) -> Column:
+        """The error of the first failure, looked up: code as a chain of cases would be too long for the JIT compiler."""
+        failures = [("serde", None, None, "serialization error: not JSON"), ("type_mismatch", "<root>", "object", "field `<root>` expected object, got "), ("serde", None, None, "serialization error: number out of range")]
+        for _, f in fields:
+            failures += [("missing_field", f.name, None, f"missing required field: {f.name}"), ("type_mismatch", f.name, f.kind.label(), f"field `{f.name}` expected {f.kind.label()}, got ")]
+        first = x(f"first_{view}")
+        code, field, expected, message = (F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), first - UNREADABLE + 1) for values in zip(*failures))
+        kinds = F.array(x("root"), *[x(f"kind{i}") for i, _ in fields])
+        actual = F.when(expected.isNotNull(), type_name(F.element_at(kinds, F.shiftright(first, 1) + 2)))
+        return F.when(first.isNotNull(), F.struct(code.alias("code"), field.alias("field"), expected.alias("expected"), actual.alias("actual"), F.concat(message, F.coalesce(actual, F.lit(""))).alias("message")))
+
+    def _text(self, x: Callable[[str], Column], view: str, fields: list[tuple[int, Field]], order: str) -> Column:
+        """The canonical text of a view in this order of keys, NULL if anything failed."""
+        if order == "schema":
+            parts = [x(f"part{i}") for i, _ in fields]
+        else:
+            parts = [x(f"by_name{i}" if f.kind.name == "list" else f"part{i}") for i, f in sorted(fields, key=lambda n: n[1].name.encode())]
+        return F.when(x(f"first_{view}").isNull(), F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
+
+    def _joined(self, x: Callable[[str], Column], view: str, fields: list[tuple[int, Field]]) -> Column:
+        """struct(canonical, error) of a view."""
+        return F.struct(self._text(x, view, fields, self.key_order).alias("canonical"), self._error(x, view, fields).alias("error"))
 
     def _fields(self) -> tuple[list[tuple[int, Field]], list[tuple[int, Field]]]:
         """All fields by number, and those of the identity, all of them required."""
@@ -197,11 +247,27 @@ class Canon:
         own = [(i, replace(f, required=True)) for i, f in every if f.identity]
         return every, own
 
+    def _steps(self, c: Column, fields: list[Field], views: dict[str, list[tuple[int, Field]]], orders: set[str]) -> list[Callable]:
+        return [
+            lambda x: self._parsed(c), lambda x: self._looked_up(x, fields), lambda x: self._marked(x, fields, orders),
+            lambda x: self._ordered(x, fields, orders), lambda x: self._judged(x, fields, orders), lambda x: self._failed(x, views),
+        ]
+
     def _expression(self, c: Column, fields: list[tuple[int, Field]]) -> Column:
-        step = lambda made, then: F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in made.items()])), lambda s: then(lambda k: s[k])), 1)
         known = [f for _, f in fields]
-        numbered = list(enumerate(known))
-        return step(self._parsed(c), lambda x: step(self._looked_up(x, known), lambda y: step(self._judged(y, known), lambda z: self._joined(z, numbered))))
+        views = {"whole": list(enumerate(known))}
+        steps = self._steps(c, known, views, {self.key_order})
+
+        def bound(n: int, env: dict[str, Column]) -> Column:
+            if n == len(steps):
+                return self._joined(env.__getitem__, "whole", views["whole"])
+            made = steps[n](env.__getitem__)
+            if not made:
+                return bound(n + 1, env)
+            row = F.array(F.struct(*[v.alias(k) for k, v in made.items()]))
+            return F.element_at(F.transform(row, lambda s: bound(n + 1, env | {k: s[k] for k in made})), 1)
+
+        return bound(0, {})
 
     def _elements_ok(self, got: Column, inner: Kind) -> Column:
         items = F.try_variant_get(got, "$", "array<variant>")
@@ -221,18 +287,21 @@ class Canon:
         if not own:
             warnings.warn(f"schema {self.schema.name!r} has no identity field: every record projects to {{}}", stacklevel=3)
 
-    def columns(self, df: DataFrame, column: str, whole: str, own: str) -> DataFrame:
-        """df with columns `whole` (what encode() gives) and `own` (identity_projection()), everything computed once."""
+    def columns(self, df: DataFrame, column: str, whole: str, own: str, orders: dict[str, str] | None = None) -> DataFrame:
+        """df with columns `whole` (what encode() gives) and `own` (identity_projection()), everything computed once.
+
+        `orders` names further columns, of canonical text in another order of keys.
+        """
         every, mine = self._fields()
         self._warn(mine)
-        known = [f for _, f in every]
-        name = lambda n, k: f"__canonical{n}_{k}"
+        orders = orders or {}
+        x = lambda k: F.col(f"__canonical_{k}")
         rows, made = df, []
-        for n, step in enumerate((lambda x: self._parsed(F.col(column)), lambda x: self._looked_up(x, known), lambda x: self._judged(x, known))):
-            cols = {name(n, k): v for k, v in step(lambda k: F.col(name(n - 1, k))).items()}  # noqa: B023
-            rows, made = rows.withColumns(cols), made + list(cols)
-        last = lambda k: F.col(name(2, k))
-        return rows.withColumns({whole: self._joined(last, every), own: self._joined(last, mine)}).drop(*made)
+        for step in self._steps(F.col(column), [f for _, f in every], {"whole": every, "own": mine}, {self.key_order, *orders.values()}):
+            cols = {f"__canonical_{k}": v for k, v in step(x).items()}
+            rows, made = rows.withColumns(cols) if cols else rows, made + list(cols)
+        further = {name: self._text(x, "whole", every, order) for name, order in orders.items()}
+        return rows.withColumns({whole: self._joined(x, "whole", every), own: self._joined(x, "own", mine), **further}).drop(*made)
 
     @staticmethod
     def decode(c: Column) -> Column:
@@ -245,6 +314,11 @@ class Canon:
         return F.element_at(F.transform(F.array(r), lambda x: F.when(x["error"].isNotNull(), F.raise_error(x["error"]["message"])).otherwise(x["canonical"])), 1)
 
 
+def check_order(key_order: str) -> None:
+    if key_order not in ("schema", "lexicographic"):
+        raise ValueError("key_order is schema or lexicographic")
+
+
 def error(code: str, field: str | None, expected: str | None, actual, message: Column) -> Column:
     text = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
     return F.struct(F.lit(code).alias("code"), text(field).alias("field"), text(expected).alias("expected"), text(actual).alias("actual"), message.alias("message"))
@@ -262,15 +336,20 @@ def refuse_clashes(df: DataFrame, made: tuple[str, ...]) -> None:
         raise ValueError(f"the table already has columns named {', '.join(taken)}: rename them")
 
 
-def encode_table(df: DataFrame, column: str, schema: Schema, **options) -> DataFrame:
+def encode_table(df: DataFrame, column: str, schema: Schema, orders: dict[str, str] | None = None, **options) -> DataFrame:
     """df with columns canonical, error, cid, identity and identity_hash for the JSON text in `column`.
 
+    `orders` names further columns, of canonical text in another key order: `{"by_name": "lexicographic"}`.
     Raises if df has a column of one of these names already.
     """
-    refuse_clashes(df, ("canonical", "error", "cid", "identity", "identity_hash"))
+    orders = orders or {}
+    for key_order in orders.values():
+        check_order(key_order)
+    names = ("canonical", "error", "cid", "identity", "identity_hash")
+    refuse_clashes(df, (*names, *(n.lower() for n in orders)))
     prepare(df.sparkSession)
     whole, own = "__canonical_record", "__canonical_identity"
-    rows = Canon(schema, **options).columns(df, column, whole, own)
+    rows = Canon(schema, **options).columns(df, column, whole, own, orders)
     return rows.withColumns({
         "canonical": F.col(f"{whole}.canonical"), "error": F.col(f"{whole}.error"), "cid": cid(F.col(f"{whole}.canonical")),
         "identity": F.col(f"{own}.canonical"), "identity_hash": cid(F.col(f"{own}.canonical")),

@@ -144,9 +144,8 @@ def transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def canonical_optional_and_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optional fields, references and lists, in both key orders."""
-    rows = src.rich_records(spark, sf_dir)
-    other = encode_table(rows, "record", src.RICH_EVENT, key_order="lexicographic").select("event_id", F.col("canonical").alias("by_name"))
-    return encode_table(rows, "record", src.RICH_EVENT).select("event_id", "canonical", "cid", F.col("error").isNull().alias("ok")).join(other, "event_id")
+    rows = encode_table(src.rich_records(spark, sf_dir), "record", src.RICH_EVENT, orders={"by_name": "lexicographic"})
+    return rows.select("event_id", "canonical", "cid", F.col("error").isNull().alias("ok"), "by_name")
 
 
 def canonical_bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,6 +108,32 @@ def test_expressions_equal_columns(spark):
         assert (r["canonical"], r["error"]) == tuple(r["e"]) and r["identity"] == r["p"]["canonical"]
 
 
+def test_long_strings_in_lists(spark):
+    s = Schema("l", 1).required("xs", list_of(FLOAT))
+    text = '{"xs":["%s",1e2,{"b":1,"a":2.50}]}' % ("a\\\\b" * 50_000)
+    assert encode(spark, s, [text])[0][0] == text.replace("1e2", "100.0").replace("2.50", "2.5")
+    assert encode(spark, s, [text], key_order="lexicographic")[0][0] == text.replace("1e2", "100.0").replace('"b":1,"a":2.50', '"a":2.5,"b":1')
+
+
+def test_text_in_a_number_field_is_no_exponent(spark):
+    s = Schema("n", 1).optional("f", FLOAT).optional("xs", list_of(FLOAT))
+    assert [g[1] for g in encode(spark, s, ['{"f":"E"}', '{"f":"1E99999999999"}'])] == ["type_mismatch"] * 2
+    assert encode(spark, s, ['{"f":2}'], strict_lists=True)[0][0] == '{"f":2}'
+
+
+def test_both_orders_of_keys_in_one_pass(spark):
+    s = Schema("k", 1).required("b", list_of(FLOAT)).required("a", STRING)
+    texts = ['{"b":[{"d":1e2,"c":"\\u001F"}],"a":"x"}', '{"b":[],"a":"x"}', '{"b":[1.50]}', None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, record string")
+    both = encode_table(df, "record", s, orders={"by_name": "lexicographic"})
+    got = both.orderBy("i").collect()
+    assert [r["canonical"] for r in got] == [g[0] for g in encode(spark, s, texts)]
+    assert [r["by_name"] for r in got] == [g[0] for g in encode(spark, s, texts, key_order="lexicographic")]
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("parseJson(record") == 1
+    with pytest.raises(ValueError):
+        encode_table(df, "record", s, orders={"by_name": "any"})
+
+
 def test_each_member_is_looked_up_once(spark):
     df = spark.createDataFrame([("{}",)], "record string")
     plan = encode_table(df, "record", reading_schema())._jdf.queryExecution().optimizedPlan().toString()

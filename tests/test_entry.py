@@ -49,6 +49,19 @@ def test_scans_read_only_what_they_need(spark, sf):
         assert "Python" not in core.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_both_key_orders_need_no_join(spark, sf, tmp_path):
+    e = spark.read.parquet(f"{sf}/events.parquet").limit(50)
+    e.unionByName(e).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))  # each event_id twice
+    got = core.queries()["canonical_optional_and_lists"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and plan.count("parseJson(record") == 1
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    expected = con.execute(core.oracle_sql()["canonical_optional_and_lists"]).fetchall()
+    assert len(expected) == 100
+    assert sorted(tuple(r) for r in got.select("event_id", "canonical", "cid", "ok", "by_name").collect()) == sorted(expected)
+
+
 def test_json_lines_and_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text('{"user_id":1,"event_type":"x","value":2}\n{"value":2,"event_type":"x","user_id":1}\n{"user_id":"1"}\n')
